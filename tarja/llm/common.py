@@ -45,9 +45,7 @@ def shared_root(spark: SparkSession) -> str:
 def written(df: DataFrame, name: str) -> DataFrame:
     """Cuts lineage: the rows as a Parquet table in the shared folder, read again. The folder's owner clears it."""
     path = f"{shared_root(df.sparkSession)}/tarja/{name}-{uuid.uuid4().hex}"
-    import time; _t=time.time()
     df.write.option("compression", "zstd").parquet(path)
-    print("WRITTEN", name, round(time.time()-_t,1))
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
