@@ -162,11 +162,16 @@ class Index:
         return max(lo, stop - m), min(hi, stop), best
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, block_bytes: int = 8 << 20) -> DataFrame:
-    """doc_id, item_id, start, stop (code points, about), edits: the best region of each document and item that meet."""
+def item_blocks(benchmark: DataFrame, block_bytes: int) -> list[list[tuple[int, str]]]:
+    """The items in blocks of about `block_bytes` of text (by hash; a longer item is a block's excess), empty ones left out."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null")
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = int(total // block_bytes) + 1
+    return [[(r[0], r[1]) for r in items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k).collect()] for k in range(n)]
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, block_bytes: int = 8 << 20) -> DataFrame:
+    """doc_id, item_id, start, stop (code points of the lower-cased text), edits: the best region of each pair that meets."""
     schema = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("start", pa.int64()), ("stop", pa.int64()), ("edits", pa.int32())])
 
     def matched(rows: list[tuple[int, str]]) -> DataFrame:
@@ -185,8 +190,25 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, block_bytes: int = 8 <<
 
         return docs.select("doc_id", F.lower("text").alias("text")).mapInArrow(run, "doc_id long, item_id long, start long, stop long, edits int")
 
-    blocks = [[(r[0], r[1]) for r in items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k).collect()] for k in range(n)]
-    return reduce(DataFrame.unionAll, [matched(b) for b in blocks])
+    return reduce(DataFrame.unionAll, [matched(b) for b in item_blocks(benchmark, block_bytes)])
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, block_bytes: int = 8 << 20) -> DataFrame:
+    """The rows of docs (text in a column `text`) that no item contaminates, unchanged and without a shuffle."""
+    schema = docs.schema
+
+    def left(rows_in: DataFrame, items: list[tuple[int, str]]) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            index = Index(items)
+            for batch in batches:
+                for part in slices(batch, column="text"):
+                    keep = np.ones(part.num_rows, bool)
+                    keep[[x for x, *_ in index(*texts_as_bytes(part.column(part.num_columns - 1)))]] = False
+                    yield part.select(schema.names).filter(pa.array(keep))
+
+        return rows_in.withColumn("lower-cased text", F.lower("text")).mapInArrow(run, schema)
+
+    return reduce(left, item_blocks(benchmark, block_bytes), docs)
 
 
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
