@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from tarja.llm.common import arrow_rows, groups, partitions, texts_as_bytes, written
 
-BLOCK_BYTES = 6 << 20
+BLOCK_BYTES = 3 << 20
 _BLOCK = pa.schema([("block", pa.int64()), ("docs", pa.binary()), ("ends", pa.binary()), ("data", pa.binary())])
 _ASK = pa.schema([("bucket", pa.int32()), ("block", pa.int64()), ("payload", pa.binary())])
 _ANSWER = pa.schema([("block", pa.int64()), ("bucket", pa.int32()), ("phase", pa.int32()), ("payload", pa.binary())])

@@ -67,7 +67,7 @@ class Windows:
         self.text = np.searchsorted(ends, self.first, side="right")
         self.key, self.doc = h[self.place], block.docs[self.text]
 
-    def shared_runs(self, shared: dict[int, bytes], bits: int):
+    def shared_runs(self, shared: dict[int, bytes], bits: int, run_bits: int):
         """The runs with a shared minimizer by content: their indices in order, each content's first, its bucket bounds."""
         own, bound, _ = key_payloads(self.key, self.doc, bits)
         flags = shared_keys(own, bound, shared)
@@ -84,7 +84,7 @@ class Windows:
         order = np.lexsort((self.doc[runs], *name[::-1]))
         runs, name = runs[order], name[:, order]
         first = np.flatnonzero(np.r_[True, (name[:, 1:] != name[:, :-1]).any(0)]) if len(runs) else np.zeros(0, np.int64)
-        bucket = np.searchsorted(self.key[runs[first]] >> np.uint64(64 - bits), np.arange((1 << bits) + 1, dtype=np.uint64))
+        bucket = np.searchsorted(self.key[runs[first]] >> np.uint64(64 - run_bits), np.arange((1 << run_bits) + 1, dtype=np.uint64))
         return runs, first, bucket
 
 
@@ -162,6 +162,7 @@ def removed_bytes(docs: DataFrame, length: int, out: str, schema: pa.Schema, fin
     """finish(block, removed flags of its bytes) -> rows, for each block."""
     held = blocks(docs)
     bits = bucket_bits(docs)
+    run_bits = bits + 2  # a run is far larger than a key
 
     def ask_keys(block, told):
         w = Windows(block, length)
@@ -172,10 +173,10 @@ def removed_bytes(docs: DataFrame, length: int, out: str, schema: pa.Schema, fin
 
     def ask_runs(block, told):
         w = Windows(block, length)
-        runs, first, bound = w.shared_runs(told.get(0, {}), bits)
+        runs, first, bound = w.shared_runs(told.get(0, {}), bits, run_bits)
         mine = runs[first]
         sizes = w.past[mine] - w.first[mine] + length - 1
-        for b in range(1 << bits):
+        for b in range(1 << run_bits):
             lo, hi = int(bound[b]), int(bound[b + 1])
             if hi > lo:
                 r = mine[lo:hi]
@@ -186,7 +187,7 @@ def removed_bytes(docs: DataFrame, length: int, out: str, schema: pa.Schema, fin
 
     def cut(block, told):
         w = Windows(block, length)
-        runs, first, bound = w.shared_runs(told.get(0, {}), bits)
+        runs, first, bound = w.shared_runs(told.get(0, {}), bits, run_bits)
         each = w.past[runs] - w.first[runs]
         count = np.diff(np.r_[first, len(runs)])
         late = w.doc[runs] > np.repeat(w.doc[runs[first]], count) if len(runs) else np.zeros(0, bool)
