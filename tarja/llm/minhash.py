@@ -3,9 +3,9 @@
 A document's set: distinct shingles of k words (A-Z lower-cased; all words as one with fewer), as 64-bit hashes. Each of `TREES` trees orders
 the signatures by its own hash values; documents with a long common prefix are candidates. The depth adapts to the region:
 from LADDER[0] values on, a region of at most `REGION` members gives its members as neighbours; a larger one is searched
-deeper, and its members also meet in random groups of that size, so that no region makes all its pairs. Candidates need an
-estimated similarity within `MARGIN` of the threshold. Equal sets are one node from the start. Links are confirmed on the
-full sets: first each node's best candidate, then every candidate that still joins two components. A pair at the threshold
+deeper, and its members also meet in random groups of that size, so that no region makes all its pairs. Members of a group are compared
+by sketches of their sets, exact up to `SKETCH` shingles and within `SIGMAS` deviations beyond, and tied by a forest. Equal sets are one node from the start. Links are confirmed on the
+full sets: first each node's best candidate, then the best between any two components, then all that still join two. A pair at the threshold
 is missed by all trees with a chance of 1e-5 at 0.85 (2e-4 at 0.8).
 
 Null or empty text, or text without words: an empty set, linked with nothing. Repeated rows and equal ids are one node. A null id
@@ -21,10 +21,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarja.llm.common import _LOWER, documents, mix, null_id, pair, slices, table, texts_as_bytes, word_hashes, words_of, written
+from tarja.llm.common import _LOWER, arrow_rows, documents, groups, mix, null_id, pair, slices, table, texts_as_bytes, word_hashes, words_of, written
 from tarja.llm.graph import components
 
-TREES, DEPTH, LADDER, REGION, MARGIN = 12, 6, (3, 4, 6), 16, 0.18
+TREES, DEPTH, LADDER, DEEPER, REGION = 12, 6, (3, 4, 6), (10, 16), 64
+SKETCH, SIGMAS = 256, 4.5
 _RNG = np.random.default_rng(2024)
 _ODD = (_RNG.integers(0, 2**31, TREES * DEPTH, dtype=np.uint64) * 2 + 1).astype(np.uint32)
 _XOR = _RNG.integers(0, 2**32, TREES * DEPTH, dtype=np.uint64).astype(np.uint32)
@@ -73,8 +74,8 @@ def set_keys(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def _signed(docs: DataFrame, k: int) -> DataFrame:
-    schema = "doc_id long, n_shingles long, key long, regions array<long>, sig binary"
-    out = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("key", pa.int64()), ("regions", pa.list_(pa.int64())), ("sig", pa.binary())])
+    schema = "doc_id long, n_shingles long, key long, regions array<long>, sig binary, sketch binary"
+    out = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("key", pa.int64()), ("regions", pa.list_(pa.int64())), ("sig", pa.binary()), ("sketch", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -91,65 +92,97 @@ def _signed(docs: DataFrame, k: int) -> DataFrame:
                             regions[:, t * len(LADDER) + LADDER.index(d + 1)] = h
                 flat = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1) * regions.shape[1], pa.int32()), pa.array(regions.ravel().view(np.int64)))
                 small = (sig >> np.uint32(24)).astype(np.uint8)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(set_keys(sets)), flat, pa.array([r.tobytes() for r in small], pa.binary())], schema=out)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(set_keys(sets)), flat, pa.array([r.tobytes() for r in small], pa.binary()), pa.array([sketch(s) for s in sets], pa.binary())], schema=out)
 
     return docs.mapInArrow(run, schema)
 
 
-def _neighbours(rows: DataFrame, least: float) -> DataFrame:
-    """Pairs (a, b) of nodes of one group whose estimated similarity is at least `least`. rows: group, key, sig; groups are small."""
+def sketch(items: np.ndarray) -> bytes:
+    """A halving and the hashes that are left: all that lie in the lowest part of 2 ** -halving, at most SKETCH of them."""
+    x, halving = (items >> np.uint64(32)).astype(np.uint32), 0
+    while len(x) > SKETCH:
+        halving += 1
+        x = x[x < 1 << (32 - halving)]
+    return np.r_[np.uint32(halving), x].astype("<u4").tobytes()
+
+
+def group_links(sketches: list[bytes], sizes: np.ndarray, percent: int) -> list[tuple[int, int, float]]:
+    """(i, j, similarity) that tie the members which are alike: a spanning forest of the sure links, and every unsure one that
+    would join two of its trees. Small sets' similarities are exact."""
+    parts = [np.frombuffer(x, "<u4") for x in sketches]
+    halving = max(int(p[0]) for p in parts)
+    parts = [p[1:] if halving == 0 else p[1:][p[1:] < 1 << (32 - halving)] for p in parts]
+    n, counts = len(parts), np.array([len(p) for p in parts])
+    value, at = np.unique(np.concatenate(parts), return_inverse=True)
+    if not len(value):
+        return []
+    has = np.zeros((n, len(value)), np.float32)
+    has[np.repeat(np.arange(n), counts), at] = 1
+    shared = has @ has.T
+    union = np.maximum(counts[:, None] + counts[None, :] - shared, 1)
+    near, least = shared / union, percent / 100
+    margin = 0.0 if halving == 0 else SIGMAS * np.sqrt(least * (1 - least) / union)
+    fits = 100 * np.minimum(sizes[:, None], sizes[None, :]) >= percent * np.maximum(sizes[:, None], sizes[None, :])
+    fits[np.arange(n), np.arange(n)] = False
+    sure = fits & (100 * shared >= percent * union if halving == 0 else near >= least + margin)
+    tree, out = np.full(n, -1), []
+    for root in range(n):
+        if tree[root] >= 0:
+            continue
+        tree[root] = root
+        front = np.array([root])
+        while len(front):
+            link = sure[front] & (tree < 0)
+            new = np.flatnonzero(link.any(0))
+            by = front[np.where(link[:, new], near[front][:, new], -1).argmax(0)] if len(new) else new
+            tree[new] = root
+            out += [(i, j, float(near[i, j])) for i, j in zip(by.tolist(), new.tolist())]
+            front = new
+    if halving:
+        i, j = np.nonzero(np.triu(fits & (near >= least - margin) & (tree[:, None] != tree[None, :])))
+        out += list(zip(i.tolist(), j.tolist(), near[i, j].tolist()))
+    return out
+
+
+def _neighbours(rows: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a > b) of keys that tie the members of each group. rows: group, key, n_shingles, sketch; groups are small."""
     out = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("near", pa.float32())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest: list[pa.RecordBatch] = []
-
-        def pairs(t: pa.Table):
-            g, key = t.column("group").to_numpy(), t.column("key").to_numpy()
-            sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint8).reshape(len(g), -1)
-            for gap in range(1, len(g)):
-                same = np.flatnonzero(g[gap:] == g[:-gap])
-                if not len(same):
-                    break
-                for i in range(0, len(same), 200_000):
-                    s = same[i : i + 200_000]
-                    near = ((sig[s] == sig[s + gap]).mean(1) - 1 / 256) / (1 - 1 / 256)
-                    ok = (near >= least) & (key[s] != key[s + gap])
-                    x, y = key[s[ok]], key[s[ok] + gap]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.maximum(x, y)), pa.array(np.minimum(x, y)), pa.array(near[ok].astype(np.float32))], schema=out)
-
-        for batch in batches:
-            if not batch.num_rows:
+        add, take = arrow_rows(out)
+        for _, parts in groups(batches, "group"):
+            t = pa.Table.from_batches(parts)
+            if t.num_rows == 1:
                 continue
-            rest.append(batch)
-            if sum(r.num_rows for r in rest) >= 20_000:
-                t = pa.Table.from_batches(rest).combine_chunks()
-                g = t.column("group").to_numpy()
-                cut = int(np.searchsorted(g, g[-1]))  # the last group may go on
-                yield from pairs(t.slice(0, cut)) if cut else ()
-                rest = t.slice(cut).to_batches()
-        if rest:
-            yield from pairs(pa.Table.from_batches(rest).combine_chunks())
-
-    return rows.select("group", "key", "sig").repartition("group").sortWithinPartitions("group", "sig", "key").mapInArrow(run, "a long, b long, near float")
-
-
-def _candidates(nodes: DataFrame, least: float) -> DataFrame:
-    """The forest's pairs (a > b) of keys. nodes: key, regions, sig."""
-    trees = nodes.select("key", "sig", F.explode(F.transform(F.sequence(F.lit(0), F.lit(TREES - 1)), lambda t: F.slice("regions", t * len(LADDER) + 1, len(LADDER)))).alias("r"))
+            key = t.column("key").to_numpy()
+            for i, j, near in group_links(t.column("sketch").to_pylist(), t.column("n_shingles").to_numpy(), percent):
+                add(max(int(key[i]), int(key[j])), min(int(key[i]), int(key[j])), near)
+            yield from take()
+        yield from take(True)
+
+    return rows.select("group", "key", "n_shingles", "sketch").repartition("group").sortWithinPartitions("group", "key").mapInArrow(run, "a long, b long, near float")
+
+
+def _candidates(nodes: DataFrame, percent: int) -> DataFrame:
+    """The forest's pairs (a > b) of keys. nodes: key, n_shingles, regions, sig, sketch. Below the ladder, a tree goes on through the values of
+    the trees behind it, of which the signature's bytes tell enough."""
+    trees = nodes.select("key", "sig", F.explode(F.transform(F.sequence(F.lit(0), F.lit(TREES - 1)), lambda t: F.struct(F.slice("regions", t * len(LADDER) + 1, len(LADDER)).alias("r"), t.alias("t")))).alias("x")).select("key", "sig", "x.*")
     found, rows = None, trees
-    for level, depth in enumerate(LADDER):
-        at = rows.withColumn("group", F.col("r")[level])
+    for level, depth in enumerate([*LADDER, *DEEPER]):
+        order = F.substring(F.concat("sig", "sig"), F.col("t") * DEPTH + 1, F.lit(depth))
+        at = rows.withColumn("group", F.col("r")[level] if depth in LADDER else F.xxhash64(F.col("r")[len(LADDER) - 1], order))
         sizes = at.groupBy("group").agg(F.count("*").alias("n")).where("n > 1")
         at = at.join(sizes.hint("shuffle_merge"), "group")
-        if level + 1 < len(LADDER):
+        if depth != DEEPER[-1]:
             at = written(at, f"depth{depth}")
         small, large = at.where(F.col("n") <= REGION), at.where(F.col("n") > REGION)
         chance = F.pmod(F.xxhash64("key", "group", F.lit(level)), F.ceil(F.col("n") / REGION))
-        mixed = large.select(F.xxhash64("group", chance, F.lit(depth)).alias("group"), "key", "sig")
-        here = small.select("group", "key", "sig").unionAll(mixed)
+        mixed = large.select(F.xxhash64("group", chance, F.lit(depth)).alias("group"), "key")
+        here = small.select("group", "key").unionAll(mixed)
         found = here if found is None else found.unionAll(here)
-        rows = large.select("key", "sig", "r")
-    return _neighbours(found, least).groupBy("a", "b").agg(F.max("near").alias("near"))
+        rows = large.select("key", "sig", "r", "t")
+    found = found.join(nodes.select("key", "n_shingles", "sketch").hint("shuffle_merge"), "key")
+    return _neighbours(found, percent).groupBy("a", "b").agg(F.max("near").alias("near"))
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -184,30 +217,43 @@ def _sets(docs: DataFrame, k: int) -> DataFrame:
     return docs.mapInArrow(run, "key long, items binary")
 
 
+def _across(pairs: DataFrame, part: DataFrame) -> DataFrame:
+    """The pairs whose two sides are in different components so far, with these (ca > cb)."""
+    one, two = part.select(F.col("node").alias("a"), F.col("component").alias("ca")), part.select(F.col("node").alias("b"), F.col("component").alias("cb"))
+    both = pairs.join(one.hint("shuffle_merge"), "a", "left").join(two.hint("shuffle_merge"), "b", "left").withColumns({"ca": F.coalesce("ca", "a"), "cb": F.coalesce("cb", "b")})
+    return both.where("ca <> cb").select("a", "b", "near", F.greatest("ca", "cb").alias("ca"), F.least("ca", "cb").alias("cb"))
+
+
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for (doc_id, text); one row per row of docs."""
     signed = written(_signed(docs, words), "signed")
     full = signed.where("n_shingles > 0")
     nodes = full.groupBy("key").agg(F.min("doc_id").alias("rep"))
     member = written(full.select("doc_id", "key", "n_shingles").join(nodes.hint("shuffle_merge"), "key"), "members")
-    heads = written(full.join(nodes.hint("shuffle_merge"), "key").where("doc_id = rep").dropDuplicates(["key"]).select("key", "rep", "regions", "sig"), "heads")
-    pairs = written(_candidates(heads, percent / 100 - MARGIN), "pairs")
+    heads = written(full.join(nodes.hint("shuffle_merge"), "key").where("doc_id = rep").dropDuplicates(["key"]).select("key", "rep", "n_shingles", "regions", "sig", "sketch"), "heads")
+    pairs = written(_candidates(heads, percent), "pairs")
     reps = heads.select("key", "rep")
     paired = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
     wanted = reps.join(paired.hint("shuffle_merge"), "key", "left_semi").select(F.col("rep").alias("doc_id")).distinct()
     texts = docs.join(wanted.hint("shuffle_merge"), "doc_id", "left_semi").select("text")
     sets = written(_sets(texts, words).dropDuplicates(["key"]), "sets")
-    best = pairs.groupBy("a").agg(F.max_by("b", F.struct("near", "b")).alias("b"))
-    first = written(_confirmed(best, sets, percent), "links")
+    either = pairs.unionAll(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "near"))
+    best = either.groupBy("a").agg(F.max_by("b", F.struct("near", "b")).alias("b"))
+    tried = written(best.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "tried")
     # rows of one id are one document, whatever their texts
     same = member.select("key", "doc_id").distinct().groupBy("doc_id").agg(F.min("key").alias("a"), F.max("key").alias("b"), F.count("*").alias("n")).where("n > 1")
     same = member.select("key", "doc_id").distinct().join(same.hint("shuffle_merge"), "doc_id").select(F.col("key").alias("a"), F.col("a").alias("b"))
-    links = first.unionAll(same)
+    links = written(_confirmed(tried, sets, percent).unionAll(same), "links")
     part = written(components(links), "parts")
-    one, two = part.select(F.col("node").alias("a"), F.col("component").alias("ca")), part.select(F.col("node").alias("b"), F.col("component").alias("cb"))
-    tried = pairs.select("a", "b").join(one.hint("shuffle_merge"), "a", "left").join(two.hint("shuffle_merge"), "b", "left").where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
-    second = _confirmed(tried.join(best.select("a", "b").hint("shuffle_merge"), ["a", "b"], "left_anti"), sets, percent)
-    part = written(components(links.unionAll(second)), "parts")
+    # of the pairs that would still join two components, first the best of each two components, then all that are left
+    rest = pairs.join(tried.hint("shuffle_merge"), ["a", "b"], "left_anti")
+    rest = written(_across(rest, part), "across")
+    best = rest.groupBy("ca", "cb").agg(F.max_by(F.struct("a", "b"), F.struct("near", "a", "b")).alias("p")).select("p.*")
+    best = written(best, "tried")
+    links = written(links.unionAll(_confirmed(best, sets, percent)), "links")
+    part = written(components(links), "parts")
+    rest = _across(rest.select("a", "b", "near").join(best.hint("shuffle_merge"), ["a", "b"], "left_anti"), part).select("a", "b")
+    part = written(components(links.unionAll(_confirmed(rest, sets, percent))), "parts")
     lowest = reps.join(part.withColumnRenamed("node", "key").hint("shuffle_merge"), "key")
     smallest = lowest.groupBy("component").agg(F.min("rep").alias("component_id"))
     lowest = written(lowest.select("key", "component").join(smallest.hint("shuffle_merge"), "component").select("key", "component_id"), "classes")
