@@ -1,42 +1,50 @@
-"""Labels, their priority and windows, aliases and vocabularies: data only."""
+"""Labels, their priority and windows, aliases and vocabularies: data only.
 
-LABELS = sorted("CPF RG SIAPE ENDEREÇO TELEFONE EMAIL DADOS_BANCARIOS CNH GEO_COORD CID PASSAPORTE TITULO_ELEITOR DATA_NASCIMENTO PIS CNS RESERVISTA".split())
+Fixed values: every list below decides results and must hold these entries.
+"""
+
+LABELS = ["CPF", "RG", "SIAPE", "ENDEREÇO", "TELEFONE", "EMAIL", "DADOS_BANCARIOS", "CNH", "GEO_COORD", "CID", "PASSAPORTE", "TITULO_ELEITOR", "DATA_NASCIMENTO", "PIS", "CNS", "RESERVISTA"]
 GENERIC = ("LOC", "MISC", "ORG", "PER")
 #: Best first.
-PRIORITY = "PASSAPORTE CPF ENDEREÇO CNH SIAPE RG TELEFONE DADOS_BANCARIOS EMAIL DATA_NASCIMENTO TITULO_ELEITOR GEO_COORD CID PIS CNS RESERVISTA".split()
-ALIASES = {**{a: "CPF" for a in ("FISTEL", "CPF/FISTEL")}, **{a: "PIS" for a in ("NIT", "PASEP")}, "Título de eleitor": "TITULO_ELEITOR", "Passaporte": "PASSAPORTE", "Matrícula SIAPE": "SIAPE", "Data de Nascimento": "DATA_NASCIMENTO", "Dados Bancários": "DADOS_BANCARIOS", "E-mail": "EMAIL", "Telefone": "TELEFONE", "Endereço": "ENDEREÇO", "ENDERECO": "ENDEREÇO"}
+PRIORITY = ["PASSAPORTE", "CPF", "ENDEREÇO", "CNH", "SIAPE", "RG", "TELEFONE", "DADOS_BANCARIOS", "EMAIL", "DATA_NASCIMENTO", "TITULO_ELEITOR", "GEO_COORD", "CID", "PIS", "CNS", "RESERVISTA"]
+ALIASES = {
+    "CPF/FISTEL": "CPF", "FISTEL": "CPF", "Título de eleitor": "TITULO_ELEITOR", "Passaporte": "PASSAPORTE", "Matrícula SIAPE": "SIAPE", "Data de Nascimento": "DATA_NASCIMENTO",
+    "Dados Bancários": "DADOS_BANCARIOS", "E-mail": "EMAIL", "Telefone": "TELEFONE", "Endereço": "ENDEREÇO", "ENDERECO": "ENDEREÇO", "PASEP": "PIS", "NIT": "PIS",
+}
 #: Code points before and after a span.
-WINDOWS = {"CPF": (80, 20), "FISTEL": (80, 20), "ENDEREÇO": (80, 20), "CNH": (80, 20), "SIAPE": (80, 20), "PIS": (80, 20), "CNS": (80, 20), "RG": (100, 50), "GEO_COORD": (100, 50), "CID": (100, 50), "TELEFONE": (100, 20), "PASSAPORTE": (100, 20), "DATA_NASCIMENTO": (80, 10), "DADOS_BANCARIOS": (80, 10), "TITULO_ELEITOR": (50, 20), "RESERVISTA": (80, 50), "EMAIL": (50, 50)}
-
-
-def _w(text: str) -> list[str]:
-    return sorted(x.replace("_", " ") for x in text.split())
-
-
+WINDOWS = {
+    "CPF": (80, 20), "FISTEL": (80, 20), "ENDEREÇO": (80, 20), "RG": (100, 50), "RNE": (100, 50), "CNH": (80, 20), "SIAPE": (80, 20), "TELEFONE": (100, 20), "DATA_NASCIMENTO": (80, 10), "PASSAPORTE": (100, 20),
+    "TITULO_ELEITOR": (50, 20), "DADOS_BANCARIOS": (80, 10), "GEO_COORD": (100, 50), "CID": (100, 50), "PIS": (80, 20), "CNS": (80, 20), "RESERVISTA": (80, 50), "EMAIL": (50, 50),
+}
 #: A context holds a word if it is a substring of it, whatever stands beside.
 WORDS = {
-    "CPF": ["fistel", "cpf"],
-    "ENDEREÇO": _w("travessa residência residencia rodovia rua quadra praça postal logradouro estrada endereço endereco domicílio domicilio complemento cidade cep bairro avenida av. alameda"),
-    "RG": _w("registro_civil registro_geral rg rg_n rg_nº rg_número rg_digital rg_eletrônico rg_físico número_do_rg nova_identidade mg- identificação_civil identidade identidade_número documento_de_identidade carteira_de_identidade carteira_de_identidade_nacional"),
-    "RNE": _w("rne registro_nacional_migratório registro_nacional_de_migratório registro_nacional_de_estrangeiro número_do_rne número_do_crnm nº_do_rne nº_do_crnm migrante migratório imigrante estrangeiro documento_migratório crnm carteira_de_registro_nacional_migratório"),
-    "CNH": _w("registro_de_habilitação registro_de_habilitacao habilitação habilitacao habilita condutora condutor cnh carteira_nacional carteira_de_motorista"),
-    "SIAPE": _w("siape mat: mat. matricula matrícula"),
-    "TELEFONE": [*_w("wpp whatsapp telefone tel: tel. ramal móvel movel fone fixo fax ddd contato celular"), "tel "],
-    "DATA_NASCIMENTO": _w("nascida nascido nascimento nasc: nasc. dt_nasc dt._nasc dn: data_de_nascimento d.n."),
-    "DATA_EXCLUDE": _w(
-        "vigência vencimento validade vacância vacancia término termino reuniao reunião publicação publicado publicada protocolo programação programacao processo prazo posse período periodo pagamento ofício nomeação nomeacao licença licenca início inicio ingresso gravação gravacao frequência frequencia fim férias ferias expedição expedicao exercício exercicio emissão emissao edital diário despacho contribuição contribuicao contrato certidão certame centenário centenario audiência audiencia assinatura aposentadoria admissão admissao"
-    ),
-    "PASSAPORTE": _w("travel_document passport passport_no passport_number passaporte passaporte_n passaporte_nº número_do_passaporte documento_de_viagem"),
-    "TITULO_ELEITOR": _w("título inscrição eleitoral eleitor"),
-    "DADOS_BANCARIOS": _w("poupança poupanca pix operação operacao corrente conta código_do_banco codigo_do_banco c/c banco bancários bancarios bancário bancario agência agencia"),
-    "GEO_COORD": _w("utm sul segundos posição posicionamento oeste norte minutos longitude long localização leste latitude lat graus gps geográfico geográfica coordenadas coordenada"),
-    "CID": _w("relatório_médico quadro_clínico prontuário patologia nosologia morbidade laudo história_clínica enfermidade doença disease diagnóstico diagnóstico_médico diagnostic código_médico código_cid condição_médica classificação cid10 cid-10 cid atestado"),
-    "PIS": _w("programa_de_integração_social programa_de_integracao_social pis/pasep pis pasep número_do_pis numero_do_pis nit inscrição_do_trabalhador inscricao_do_trabalhador"),
-    "CNS": _w("sus sistema_único_de_saúde sistema_unico_de_saude número_do_cns numero_do_cns cns: cns cartão_nacional_de_saúde cartao_nacional_de_saude"),
-    "RESERVISTA": _w("serviço_militar servico_militar reservista certificado_de_reservista certificado_de_dispensa_de_incorporação certificado_de_alistamento_militar cdi cda cam alistamento_militar"),
-}
-CID_TRAPS = [f"{c}12" for c in "ABCDEFGH"]
-TABLE_WORDS = sorted("telefone fistel email identificacao siape cnh passaporte documento titulo rg cpf".split())
-STATES = "|".join(sorted("RS SC PR SP RJ MG ES BA SE AL PE PB RN CE PI MA PA AP AM RR AC RO TO GO DF MT MS".split()))
-COUNCILS = "|".join(sorted("OAB CRMV COREN CRECI CRESS CRF CREA CRP CRO CRM".split()))
-ISSUERS = "|".join(sorted("SSP SDS DETRAN IFP PC SESP SEJUSP ITEP IGP DGPC SSD SSDS".split(), key=len, reverse=True))
+    "CPF": ["cpf", "fistel"],
+    "ENDEREÇO": ["cep", "postal", "rua", "avenida", "av.", "endereço", "endereco", "logradouro", "bairro", "residência", "residencia", "domicílio", "domicilio", "alameda", "travessa", "rodovia", "estrada", "praça", "quadra", "complemento", "cidade"],
+    "RG": ["rg", "identidade", "registro geral", "carteira de identidade", "rg número", "número do rg", "rg nº", "rg n", "documento de identidade", "identidade número", "mg-", "carteira de identidade nacional", "nova identidade", "rg digital", "rg eletrônico", "rg físico", "registro civil", "identificação civil"],
+    "RNE": ["rne", "crnm", "registro nacional de estrangeiro", "registro nacional de migratório", "registro nacional migratório", "estrangeiro", "migratório", "migrante", "imigrante", "documento migratório", "carteira de registro nacional migratório", "número do rne", "número do crnm", "nº do rne", "nº do crnm"],
+    "CNH": ["cnh", "habilitação", "habilitacao", "habilita", "condutor", "condutora", "carteira de motorista", "carteira nacional", "registro de habilitação", "registro de habilitacao"],
+    "SIAPE": ["siape", "matrícula", "matricula", "mat.", "mat:"],
+    "TELEFONE": ["telefone", "whatsapp", "fone", "ramal", "celular", "fax", "tel.", "tel:", "tel ", "contato", "fixo", "móvel", "movel", "wpp", "ddd"],
+    "DATA_NASCIMENTO": ["nascimento", "nascido", "nascida", "nasc.", "nasc:", "dt nasc", "dt. nasc", "d.n.", "dn:", "data de nascimento"],
+    "DATA_EXCLUDE": [
+        "início", "termino", "vigência", "validade", "contrato", "término", "processo", "protocolo", "publicação", "publicado", "publicada", "diário", "ofício", "certidão", "certame", "edital", "inicio", "fim", "reunião", "reuniao",
+        "pagamento", "vencimento", "audiência", "audiencia", "prazo", "assinatura", "despacho", "emissão", "emissao", "expedição", "expedicao", "admissão", "admissao", "aposentadoria", "nomeação", "nomeacao", "posse", "exercício", "exercicio",
+        "contribuição", "contribuicao", "ingresso", "vacância", "vacancia", "férias", "ferias", "licença", "licenca", "frequência", "frequencia", "período", "periodo", "gravação", "gravacao", "programação", "programacao", "centenário", "centenario",
+    ],
+    "PASSAPORTE": ["passaporte", "passport", "documento de viagem", "travel document", "número do passaporte", "passport number", "passport no", "passaporte n", "passaporte nº"],
+    "TITULO_ELEITOR": ["título", "eleitor", "inscrição", "eleitoral"],
+    "DADOS_BANCARIOS": ["banco", "conta", "agencia", "agência", "bancário", "bancario", "bancários", "bancarios", "pix", "poupança", "poupanca", "corrente", "c/c", "operação", "operacao", "código do banco", "codigo do banco"],
+    "GEO_COORD": ["coordenada", "latitude", "longitude", "lat", "long", "posição", "localização", "gps", "geográfica", "geográfico", "utm", "graus", "minutos", "segundos", "norte", "sul", "leste", "oeste", "coordenadas", "posicionamento"],
+    "PIS": ["pis", "pasep", "nit", "inscrição do trabalhador", "inscricao do trabalhador", "programa de integração social", "programa de integracao social", "número do pis", "numero do pis", "pis/pasep"],
+    "CNS": ["cns", "cartão nacional de saúde", "cartao nacional de saude", "número do cns", "numero do cns", "cns:", "sus", "sistema único de saúde", "sistema unico de saude"],
+    "RESERVISTA": ["reservista", "certificado de reservista", "certificado de alistamento militar", "certificado de dispensa de incorporação", "cam", "cda", "cdi", "alistamento militar", "serviço militar", "servico militar"],
+    "CID": [
+        "cid", "cid-10", "cid10", "diagnóstico", "doença", "patologia", "enfermidade", "diagnóstico médico", "classificação", "código médico", "código cid", "laudo", "atestado", "relatório médico", "prontuário", "história clínica",
+        "quadro clínico", "condição médica", "morbidade", "nosologia", "diagnostic", "disease",
+    ],
+}
+CID_TRAPS = ["A12", "B12", "C12", "D12", "E12", "F12", "G12", "H12"]
+TABLE_WORDS = ["cpf", "rg", "titulo", "documento", "passaporte", "cnh", "siape", "identificacao", "email", "fistel", "telefone"]
+STATES = "AC|AL|AP|AM|BA|CE|DF|ES|GO|MA|MT|MS|MG|PA|PB|PR|PE|PI|RJ|RN|RS|RO|RR|SC|SP|SE|TO"
+COUNCILS = "CRM|CRO|CRP|CREA|CRF|CRESS|CRECI|COREN|CRMV|OAB"
+ISSUERS = "SSP|SDS|DETRAN|IFP|PC|SESP|SEJUSP|ITEP|IGP|DGPC|SSDS?"

@@ -7,16 +7,17 @@ from pyspark.sql import functions as F
 
 from tarja.functions.spans import span
 
-_NUM = r"n?[°ºo]?\.?\s*[-:]?\s*"
-_ONLY = r"^\s*n[°ºo]\.?\s*[-:]?\s*"
 _TAIL = r"\s+[/-]?\s*[A-ZÁ-Ú]{2,}(?:\s*[/-]?\s*[A-ZÁ-Ú]{2,})*\s*$"
+#: What stands before and behind identifiers, by label; the first that applies counts.
 PREFIX = {
-    "CID": [r"^\s*CID(?![A-Za-zÀ-ú])\s*[-:]?\s*"],
-    **{x: [rf"^\s*{x}\s*{_NUM}"] for x in ("CNH", "RG")},
-    **{x: [rf"^\s*{x}\s*{_NUM}", _ONLY] for x in ("SIAPE", "CPF")},
-    "TITULO_ELEITOR": [r"^\s*t[ií]tulo(?:\s+de)?\s+eleitor\s*[-:]?\s*", _ONLY],
-    "GEO_COORD": [r"^\s*(?:COORDENADAS?|(?:LOG|LONG|LAT)(?:ITUDE)?)(?![A-Za-z])\s*\.?\s*(?:-(?!\s*\d)|:)?\s*"],
-    "EMAIL": [r"^\s*E-?MAIL(?![@A-Za-z])\s*[-:]?\s*"],
+    "CID": [r"^\s*CID(?![A-Za-zÁ-Úá-ú])\s*[:-]?\s*"],
+    "CNH": [r"^\s*CNH\s*n?[º°o]?\.?\s*[:-]?\s*"],
+    "SIAPE": [r"^\s*SIAPE\s*n?[º°o]?\.?\s*[:-]?\s*", r"^\s*n[º°o]\.?\s*[:-]?\s*"],
+    "CPF": [r"^\s*CPF\s*n?[º°o]?\.?\s*[:-]?\s*", r"^\s*n[º°o]\.?\s*[:-]?\s*"],
+    "RG": [r"^\s*RG\s*n?[º°o]?\.?\s*[:-]?\s*"],
+    "TITULO_ELEITOR": [r"^\s*t[íi]tulo(?:\s+de)?\s+eleitor\s*[:-]?\s*", r"^\s*n[ºo°]\.?\s*[:-]?\s*"],
+    "GEO_COORD": [r"^\s*(?:(?:LAT|LONG|LOG)(?:ITUDE)?|COORDENADA[S]?)(?![A-Za-z])\s*\.?\s*(?::|-(?!\s*\d))?\s*"],
+    "EMAIL": [r"^\s*E-?MAIL(?![A-Za-z@])\s*[:-]?\s*"],
 }
 SUFFIX = {"CPF": [r"\s+-\s*\d{1,2}\s*$", _TAIL], "RG": [_TAIL, r"/\s*[A-ZÁ-Ú]{2,}\s*$"], "CNH": [r"\s+DETRAN(?:\s*[/-]?\s*[A-ZÁ-Ú]{2})?\s*$"]}
 

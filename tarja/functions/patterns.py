@@ -1,7 +1,4 @@
-"""Patterns from shapes, and the immutable catalog of those that are active.
-
-In a shape, ``9`` is a digit and other signs stand for themselves; ``bare`` puts no digit beside it.
-"""
+"""The patterns, and the immutable catalog of those that are active."""
 
 from __future__ import annotations
 
@@ -12,104 +9,121 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tarja.functions.labels import COUNCILS, ISSUERS, LABELS, STATES
 
-_NO, _SEP, _HEMI = "[ºo°]", r"[\s.-]?", "[NSEWnsew]"
-
-
-def shape(text: str) -> str:
-    return "".join(r"\d" if c == "9" else re.escape(c) for c in text)
-
-
-def bare(body: str, sign: str = r"\d") -> str:
-    return f"(?<!{sign})(?:{body})(?!{sign})"
-
-
-def tail(body: str) -> str:
-    return body + r"(?!\d)"
-
-
-def d(low: int, high: int | None = None) -> str:
-    return rf"\d{{{low}}}" if high is None else rf"\d{{{low},{high}}}"
-
-
-def _phones() -> list[str]:
-    country, area, end = r"(?:\+?55)?", r"\(?\d{2}\)?", d(4)
-    free, dash, dot = r"[\s-]?", r"[-\s]?", r"[\s.-]?"
-    wide = r"\(?\d{2,3}\)?"
-    local = d(4, 5)
-    return [
-        *[bare(x) for x in (rf"\({d(2)}\)\s?{local}{dash}{end}", rf"{d(2)}\s{local}{dash}{end}")],
-        tail(rf"\+{d(1, 3)}\s?{area}\s?{local}{dash}{end}"),
-        *[bare(x) for x in (d(10, 11), rf"{country}\s?{area}{free}{local}{free}{end}", rf"\({d(2, 3)}\)\s?{local}{dot}{end}", rf"\({d(2, 3)}\)\s?\d\s?{end}{dot}{end}", rf"{d(2, 3)}\s{local}{dot}{end}")],
-        tail(rf"\+55{free}{d(2, 3)}{free}{local}{dot}{end}"),
-        tail(r"\+55" + d(10, 11)),
-        *[bare(x) for x in (rf"(?:\+?55{free})?{wide}{dot}\d?\s?{end}{dot}{end}", rf"{d(2)}\s?{end}\s?{d(7)}", rf"(?:\+?55{free})?{wide}{dot}{local}[\s.-]{end}", rf"{end}[-.\s]?{end}", rf"\({d(2)}\){local}[-.\s]?{end}", rf"\({d(2)}\){d(9)}", rf"\(\+?55\)\s?{d(2)}\s?{local}[-.\s]?{end}")],
-    ]
-
-
-def _geo() -> list[str]:
-    deg, num = d(1, 3), r"\.?\d*"
-    dec = rf"-?{deg}\.\d+"
-    return [
-        tail(rf"(?<!\d){deg}°{d(1, 2)}{num}'?\s*{_HEMI}"), rf"Lat\.?{deg}{_HEMI}{d(6)}[a-z]?|Long\.?{deg}{_HEMI}{d(6)}[a-z]?", bare(rf"-?{deg},\d+\s+-?{deg},\d+"),
-        bare(rf"{deg}°{d(1, 2)}'?{d(1, 2)}{num}\"?{_HEMI}"), bare(rf"{deg}°{_HEMI}\s+{d(1, 2)}'?\s*{d(1, 2)}{num}\"?"),
-        rf"(?i)(?:lat(?:itude)?|log|long(?:itude)?|coordenada)[\s:]*-?\s?{deg}[°.,]\d+", bare(rf"{deg}[°º]{_HEMI}{d(1, 2)}'?{d(1, 2)}[.,]\d+['\"]{{0,2}}"),
-        rf"(?<!\d)-?{deg}\.\d{{3,}}[°º]{_HEMI}(?!\w)", bare(d(2) + _HEMI + d(6)), bare(rf"{dec}\s*,\s*{dec}"),
-    ]
-
+_UF, _COUNCIL, _ISSUER = f"(?:{STATES})", f"(?:{COUNCILS})", f"(?:{ISSUERS})"
+_RNE = r"\b(?:Registro\s+Nacional\s+(?:de\s+Estrangeiro|Migrat[oó]rio))"
+_MONTHS = "janeiro|fevereiro|março|abril|maio|junho|julho|agosto|setembro|outubro|novembro|dezembro"
 
-def _cid() -> list[str]:
-    letter, more = "[A-TV-Za-tv-z]", r"\.[0-9Xx]{1,3}"
-    code = rf"{letter}\d\d(?:{more})?\b"
-    return [rf"\b{letter}\d\d\b", rf"\b{letter}\d\d{more}\b", rf"(?i)\bcid[-\s]*(?:1[01])?[:\s]*{code}", rf"(?i)(?:cod[eo]|código|code|diagnóstico|diagnostic[ao]?)[:\s-]*{code}".replace("cod[eo]|", ""), rf"\b{code}"]
-
-
-def _rg() -> list[str]:
-    dots, state, sp = r"\d{1,2}\.\d{3}\.\d{3}", f"(?:{STATES})", r"\s*"
-    two = dots.replace("{1,2}", "{2}")
-    issuer = rf"(?:{ISSUERS})[\s/-]*{state}"
-    return [
-        rf"(?<!\d){d(6, 9)}{sp}-{sp}{state}\b", rf"(?<!\d){dots}-[\dXx]\s+{state}(?!\w)", bare(rf"{dots}-?\w{{1,2}}"), bare(rf"{dots}-[\dXx]"), bare(rf"{two}-\d/[\dXx]"), tail(rf"MG-{two}"), bare(rf"{two}-[\dXx]{{2}}"),
-        tail(rf"(?i)\brg{sp}n?{_NO}?{sp}[:-]?{sp}{d(5, 10)}"), rf"(?<!\d){d(5, 10)}{sp}[-/]?{sp}{issuer}\b", tail(rf"\b(?:{COUNCILS})[\s/-]*{state}[-:\s]*{d(2, 10)}"), tail(rf"(?<!\d){d(2, 10)}{sp}[-/]?{sp}(?:{COUNCILS})[\s/-]*{state}"), tail(rf"(?i)(?:{COUNCILS})[-:\s]*{d(2, 10)}"),
-    ]
-
-
-def _rg_foreign() -> list[str]:
-    code, run, dots = "(?:CRNM|RNE)", d(6, 9) + r"\b", r"\d{1,3}(?:\.\d{3}){1,2}\b"
-    full = r"\bRegistro\s+Nacional\s+(?:Migrat[óo]rio|de\s+Estrangeiro)"
-    mark = r"\s*[:-]?\s*"
-    return [rf"\b{code}{mark}{run}", rf"\b{code}{mark}{dots}", rf"{full}\s*(?:[Nn]úmero|[Nn]{_NO}|[:-])?\s*{run}", full + mark + dots, rf"\b(?:Número|N[oº])\s*(?:do\s*)?{code}{mark}{run}", rf"\b{code}\D{{0,3}}{run}", rf"\b{code}\D{{0,3}}{dots}"]
-
-
-_VOTER = r"t[ií]tulo(?:\s+de)?\s+eleitor\s*[:-]?\s*"
-_MONTH = "|".join(sorted("dezembro novembro outubro setembro agosto julho junho maio abril março fevereiro janeiro".split()))
-_STAR = "*" * 3
-_SIX, _LONG = d(6), d(12, 13)
+#: What each label looks like. The order within a label counts where spans tie.
 BUILT_IN: dict[str, list[str]] = {
     "CPF": [
-        *[bare(shape(s)) for s in ("999.999.999-99", "999999999-99", "9" * 11)],
-        tail(r"\bnº:?\s*\d{9}[/-]\d{2}"), tail(r"\bnº:?\s*" + shape("9" * 11)),
-        *[bare(shape(s).replace("~", "[/-]"), r"\*") for s in (f"{_STAR}.999.999~**", f"{_STAR}999999~**", f"{_STAR}999999**")],
-        *[bare(shape(s).replace("~", "[/-]")) for s in (f"999.{_STAR}.{_STAR}~99", f"999{_STAR * 2}~99", f"999{_STAR * 2}99")],
+        r"(?<!\d)\d{3}\.\d{3}\.\d{3}-\d{2}(?!\d)",
+        r"(?<!\d)\d{9}[-/]\d{2}(?!\d)",
+        r"(?<!\d)\d{11}(?!\d)",
+        r"\bnº:?\s*\d{9}[-/]\d{2}(?!\d)",
+        r"\bnº:?\s*\d{11}(?!\d)",
+        r"(?<!\*)\*{3}\.\d{3}\.\d{3}[-/]\*{2}(?!\*)",
+        r"(?<!\*)\*{3}\d{6}[-/]\*{2}(?!\*)",
+        r"(?<!\*)\*{3}\d{6}\*{2}(?!\*)",
+        r"(?<!\d)\d{3}\.\*{3}\.\*{3}[-/]\d{2}(?!\d)",
+        r"(?<!\d)\d{3}\*{6}[-/]\d{2}(?!\d)",
+        r"(?<!\d)\d{3}\*{6}\d{2}(?!\d)",
+    ],
+    "RG": [
+        rf"(?<!\d)\d{{6,9}}\s*-\s*{_UF}\b",
+        rf"(?<!\d)\d{{1,2}}\.\d{{3}}\.\d{{3}}-[\dXx]\s+{_UF}(?!\w)",
+        r"(?<!\d)\d{1,2}\.\d{3}\.\d{3}-?\w{1,2}(?!\d)",
+        r"(?<!\d)\d{1,2}\.\d{3}\.\d{3}-[\dXx](?!\d)",
+        r"(?<!\d)\d{2}\.\d{3}\.\d{3}-\d/[\dXx](?!\d)",
+        r"MG-\d{2}\.\d{3}\.\d{3}(?!\d)",
+        r"(?<!\d)\d{2}\.\d{3}\.\d{3}-[\dXx]{2}(?!\d)",
+        r"(?i)\brg\s*n?[ºo°]?\s*[:-]?\s*\d{5,10}(?!\d)",
+        rf"(?<!\d)\d{{1,2}}\.?\d{{3}}\.?\d{{3}}[-.]?\d?\s*[-/]?\s*{_ISSUER}\s*/?\s*{_UF}(?!\w)",
+        rf"(?i){_COUNCIL}[-/\s]*{_UF}[-/\s]*\d{{2,10}}",
+        rf"(?i)\d{{2,10}}\s*[-/]\s*{_COUNCIL}\s*/?\s*{_UF}",
+        rf"(?i){_COUNCIL}[-:\s]*\d{{2,10}}(?!\d)",
     ],
-    "RG": _rg(),
-    "TITULO_ELEITOR": [tail(r"(?i)\b" + _VOTER + d(10, 12)), tail(r"(?<!\d):?" + r"\s".join([d(4)] * 3)), bare(r"\d{4}\s?\d{4}\s?\d{2}[-\s]?\d{2}"), tail(r"(?<!\d):?" + d(12)), rf"(?i)(?:{_VOTER}|n{_NO}\s*)?\d{{4}}\s?\d{{4}}\s?\d{{4}}"],
-    "PASSAPORTE": [r"[a-zA-Z]{2}" + d(5, 6) + r"\s?"],
-    "SIAPE": [bare(d(7)), tail(r"\bSIAPE[\s-]?[on°º]?\s*" + d(7)), bare(d(6) + "[-/]" + r"\d")],
-    "CNH": [bare(d(11)), bare(d(10)), bare(r"\s?".join([d(3)] * 3) + r"\s?-?" + d(2)), tail(r"(?i)\bcnh\b[-\s:º°]*" + d(10, 11))],
-    "DADOS_BANCARIOS": [bare(d(4, 6) + r"-\d"), bare(d(3, 5) + "-" + d(6, 9) + r"(?:-\d)?"), r"\b[A-Za-z]{2}" + d(2) + r"(?:\s?\d{4}){4,6}\b", bare(d(8, 12) + r"-\d"), rf"\b{shape('999-999999-9')}\b"],
-    "EMAIL": [r"\b[\w.+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}\b".replace(r"\w", "a-zA-Z0-9_")],
-    "TELEFONE": _phones(),
-    "DATA_NASCIMENTO": [r"\d\d[-/.]\d\d[-/.]\d\d(?:\d\d)?\b", shape("9999-99-99") + r"\b", rf"(?i)\b(?:3[01]|[12]\d|0?[1-9])\s+de\s+(?:{_MONTH})\s+de\s+(?:20|19)\d\d\b"],
-    "ENDEREÇO": [bare(shape(s)) for s in ("99999-999", "99.999-999", "9" * 8)],
-    "GEO_COORD": _geo(),
-    "CID": _cid(),
-    "PIS": [bare(d(11)), bare(d(10) + r"-\d"), r"(?<!\d)" + shape("999.99999.99-9") + r"\b"],
-    "CNS": [bare("[12789]" + d(14)), bare("[12789]" + d(14) + r"-\d")],
-    "RESERVISTA": [bare(rf"{_SIX}\s*[/-]\s*{_LONG}|{_LONG}\s*[/-]\s*{_SIX}")],
+    "TITULO_ELEITOR": [
+        r"(?i)\bt[íi]tulo(?:\s+de)?\s+eleitor\s*[:-]?\s*\d{10,12}(?!\d)",
+        r"(?<!\d):?\d{4}\s\d{4}\s\d{4}(?!\d)",
+        r"(?<!\d)\d{4}\s?\d{4}\s?\d{2}[\s-]?\d{2}(?!\d)",
+        r"(?<!\d):?\d{12}(?!\d)",
+        r"(?i)(?:t[íi]tulo(?:\s+de)?\s+eleitor\s*[:-]?\s*|n[ºo°]\s*)?(?:\d{4}\s?\d{4}\s?\d{4}|\d{12}|\d{4}\s?\d{4}\s?\d{2}[\s-]?\d{2})",
+    ],
+    "PASSAPORTE": [r"[a-zA-Z]{2}\d{5,6}\s?"],
+    "SIAPE": [r"(?<!\d)\d{7}(?!\d)", r"\bSIAPE[\s-]?[nº°o]?\s*\d{7}(?!\d)", r"(?<!\d)\d{6}[/-]\d(?!\d)"],
+    "CNH": [r"(?<!\d)\d{11}(?!\d)", r"(?<!\d)\d{10}(?!\d)", r"(?<!\d)\d{3}\s?\d{3}\s?\d{3}\s?-?\d{2}(?!\d)", r"(?i)\bcnh\b[\s:°º-]*\d{10,11}(?!\d)"],
+    "DADOS_BANCARIOS": [
+        r"(?<!\d)\d{4,6}-\d(?!\d)",
+        r"(?<!\d)\d{3,5}-\d{6,9}(?:-\d)?(?!\d)",
+        r"\b[A-Za-z]{2}\d{2}(?:\s?\d{4}){4,6}\b",
+        r"(?<!\d)\d{8,12}-\d(?!\d)",
+        r"\b\d{3}-\d{6}-\d\b",
+    ],
+    "EMAIL": [r"\b[a-zA-Z0-9_.+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}\b"],
+    "TELEFONE": [
+        r"(?<!\d)\(\d{2}\)\s?\d{4,5}[-\s]?\d{4}(?!\d)",
+        r"(?<!\d)\d{2}\s\d{4,5}[-\s]?\d{4}(?!\d)",
+        r"\+\d{1,3}\s?\(?\d{2}\)?\s?\d{4,5}[-\s]?\d{4}(?!\d)",
+        r"(?<!\d)\d{10,11}(?!\d)",
+        r"(?<!\d)(?:\+?55)?\s?\(?\d{2}\)?[\s-]?\d{4,5}[\s-]?\d{4}(?!\d)",
+        r"(?<!\d)\(\d{2,3}\)\s?\d{4,5}[\s.-]?\d{4}(?!\d)",
+        r"(?<!\d)\(\d{2,3}\)\s?\d\s?\d{4}[\s.-]?\d{4}(?!\d)",
+        r"(?<!\d)\d{2,3}\s\d{4,5}[\s.-]?\d{4}(?!\d)",
+        r"\+55[\s-]?\d{2,3}[\s-]?\d{4,5}[\s.-]?\d{4}(?!\d)",
+        r"\+55\d{10,11}(?!\d)",
+        r"(?<!\d)(?:\+?55[\s-]?)?\(?\d{2,3}\)?[\s.-]?\d?\s?\d{4}[\s.-]?\d{4}(?!\d)",
+        r"(?<!\d)\d{2}\s?\d{4}\s?\d{7}(?!\d)",
+        r"(?<!\d)(?:\+?55[\s-]?)?\(?\d{2,3}\)?[\s.-]?\d{4,5}[\s.-]\d{4}(?!\d)",
+        r"(?<!\d)\d{4}[-.\s]?\d{4}(?!\d)",
+        r"(?<!\d)\(\d{2}\)\d{4,5}[-.\s]?\d{4}(?!\d)",
+        r"(?<!\d)\(\d{2}\)\d{9}(?!\d)",
+        r"(?<!\d)\(\+?55\)\s?\d{2}\s?\d{4,5}[-.\s]?\d{4}(?!\d)",
+    ],
+    "DATA_NASCIMENTO": [r"\d{2}[-/.]\d{2}[-/.]\d{2}(?:\d{2})?\b", r"\d{4}-\d{2}-\d{2}\b", rf"(?i)\b(?:0?[1-9]|[12][0-9]|3[01])\s+de\s+(?:{_MONTHS})\s+de\s+(?:19|20)\d{{2}}\b"],
+    "ENDEREÇO": [r"(?<!\d)\d{5}-\d{3}(?!\d)", r"(?<!\d)\d{2}\.\d{3}-\d{3}(?!\d)", r"(?<!\d)\d{8}(?!\d)"],
+    "GEO_COORD": [
+        r"(?<!\d)\d{1,3}°\d{1,2}\.?\d*'?\s*[NSEWnsew](?!\d)",
+        r"(?:Lat|Long)\.?\d{1,3}[NSEWnsew]\d{6}[a-z]?",
+        r"(?<!\d)-?\d{1,3},\d+\s+-?\d{1,3},\d+(?!\d)",
+        r"(?<!\d)\d{1,3}°\d{1,2}'?\d{1,2}\.?\d*\"?[NSEWnsew](?!\d)",
+        r"(?<!\d)\d{1,3}°[NSEWnsew]\s+\d{1,2}'?\s*\d{1,2}\.?\d*\"?(?!\d)",
+        r"(?i)(?:coordenada|latitude|longitude|lat|long|log)[\s:]*-?\s?\d{1,3}[°.,]\d+",
+        r"(?<!\d)\d{1,3}[°º][NSEWnsew]\d{1,2}'?\d{1,2}[.,]\d+['\"]{0,2}(?!\d)",
+        r"(?<!\d)-?\d{1,3}\.\d{3,}[°º][NSEWnsew](?!\w)",
+        r"(?<!\d)\d{2}[NSEWnsew]\d{6}(?!\d)",
+        r"(?<!\d)-?\d{1,3}\.\d+\s*,\s*-?\d{1,3}\.\d+(?!\d)",
+    ],
+    "CID": [
+        r"\b[A-TV-Za-tv-z]\d{2}\b",
+        r"\b[A-TV-Za-tv-z]\d{2}\.[0-9Xx]{1,3}\b",
+        r"(?i)\bcid[-\s]*(?:10|11)?[:\s]*[A-TV-Za-tv-z]\d{2}(?:\.[0-9Xx]{1,3})?\b",
+        r"(?i)(?:diagnóstico|diagnostic[ao]?|código|code)[:\s-]*[A-TV-Za-tv-z]\d{2}(?:\.[0-9Xx]{1,3})?\b",
+        r"\b[A-TV-Za-tv-z]\d{2}(?:\.[0-9Xx]{1,3})?\b",
+    ],
+    "PIS": [r"(?<!\d)\d{11}(?!\d)", r"(?<!\d)\d{10}-\d(?!\d)", r"(?<!\d)\d{3}\.\d{5}\.\d{2}-\d\b"],
+    "CNS": [r"(?<!\d)[12789]\d{14}(?!\d)", r"(?<!\d)[12789]\d{14}-\d(?!\d)"],
+    "RESERVISTA": [r"(?<!\d)(?:\d{6}\s*[-/]\s*\d{12,13}|\d{12,13}\s*[-/]\s*\d{6})(?!\d)"],
 }
 FOREIGN = {
-    "RG": _rg_foreign(),
-    "PASSAPORTE": [*[bare(x, r"\w") for x in ("[A-Z]" + d(8), d(9), "[CFGHJK][A-Z0-9]{8}", "[A-Z]" + d(6), d(2) + "[A-Z]{2}" + d(5), "[A-Z]{1,2}" + d(7), "[A-Z0-9]{6,9}")], rf"(?i)pass(?:port|aporte?)\s*n{_NO}?\s*[:-]?\s*[A-Z0-9]{{6,9}}"],
+    "RG": [
+        r"\b(?:RNE|CRNM)\s*[:-]?\s*\d{6,9}\b",
+        r"\b(?:RNE|CRNM)\s*[:-]?\s*\d{1,3}(?:\.\d{3}){1,2}\b",
+        _RNE + r"\s*(?:[:-]|[Nn][ºo°]|[Nn]úmero)?\s*\d{6,9}\b",
+        _RNE + r"\s*[:-]?\s*\d{1,3}(?:\.\d{3}){1,2}\b",
+        r"\b(?:N[ºo]|Número)\s*(?:do\s*)?(?:RNE|CRNM)\s*[:-]?\s*\d{6,9}\b",
+        r"\b(?:RNE|CRNM)[^\d]{0,3}\d{6,9}\b",
+        r"\b(?:RNE|CRNM)[^\d]{0,3}\d{1,3}(?:\.\d{3}){1,2}\b",
+    ],
+    "PASSAPORTE": [
+        r"(?<!\w)[A-Z]\d{8}(?!\w)",
+        r"(?<!\w)\d{9}(?!\w)",
+        r"(?<!\w)[CFGHJK][A-Z0-9]{8}(?!\w)",
+        r"(?<!\w)[A-Z]\d{6}(?!\w)",
+        r"(?<!\w)\d{2}[A-Z]{2}\d{5}(?!\w)",
+        r"(?<!\w)[A-Z]{1,2}\d{7}(?!\w)",
+        r"(?<!\w)[A-Z0-9]{6,9}(?!\w)",
+        r"(?i)(?:passaporte?|passport)\s*n[ºo°]?\s*[:-]?\s*[A-Z0-9]{6,9}",
+    ],
 }
 
 

@@ -15,6 +15,12 @@ from tarja.functions.spans import empty, find, formatted, mask, resolve, span, s
 from tarja.operators.tables import table_spans
 
 
+def bound(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """df with a column that later expressions use as it is: the optimizer would copy a plain projection's whole tree into
+    each of the hundreds of places that name it. A one-row generator ends that, on streams too."""
+    return df.select(*[F.col(f"`{c}`") for c in df.columns if c != name], F.explode(F.array(value)).alias(name))
+
+
 @dataclass(frozen=True)
 class Engine:
     catalog: Catalog = field(default_factory=Catalog.default)
@@ -59,7 +65,7 @@ class Engine:
         """df with the column `spans`. Null texts have none; texts over `max_chars` raise."""
         x = F.col(f"`{text}`")
         x = F.when(F.length(x) > self.max_chars, F.raise_error(F.lit(f"text longer than {self.max_chars} characters")).cast("string")).otherwise(F.coalesce(x, F.lit("")))
-        df = df.withColumn("_text", x).withColumn("_regex", self.regex_spans("_text"))
+        df = bound(bound(df, "_text", x), "_regex", self.regex_spans("_text"))
         parts = [F.col("_regex")]
         if self.model_spans:
             from tarja.functions.labels import GENERIC
@@ -70,10 +76,10 @@ class Engine:
             parts.insert(0, self._guarded(F.coalesce(F.filter(judged, lambda s: s["label"].isNotNull()), empty())))
         if self.tables:
             parts.append(F.filter(table_spans(F.col("_text")), lambda s: s["label"].isin(self.catalog.labels)))
-        df = df.withColumn("_all", split_lines(F.concat(*parts)))
+        df = bound(df, "_all", split_lines(F.concat(*parts)))
         if self.normalize_entities:
-            df = df.withColumn("_all", normalize(F.col("_all")))
-        df = df.withColumn("spans", resolve(F.col("_all"), F.col("_text") if self.refresh_text else None))
+            df = bound(df, "_all", normalize(F.col("_all")))
+        df = bound(df, "spans", resolve(F.col("_all"), F.col("_text") if self.refresh_text else None))
         return df.drop("_text", "_regex", "_all")
 
     def extract(self, df: DataFrame, text: str = "text", kind: str = "position") -> DataFrame:
@@ -87,5 +93,5 @@ class Engine:
 
     def regex_only(self, df: DataFrame, text: str = "text") -> DataFrame:
         """Without model, tables, normalisation and resolution."""
-        df = df.withColumn("_text", F.coalesce(F.col(f"`{text}`"), F.lit("")))
-        return df.withColumn("spans", self.regex_spans("_text")).drop("_text")
+        df = bound(df, "_text", F.coalesce(F.col(f"`{text}`"), F.lit("")))
+        return bound(df, "spans", self.regex_spans("_text")).drop("_text")
