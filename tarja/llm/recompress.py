@@ -20,10 +20,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from tarja.llm.blocks import Block, ask, blocks, bucket_bits, key_payloads, met, shared_answer, shared_keys
+from tarja.llm.blocks import Block, ask, blocks, bucket_bits, expand, key_payloads, met, press, shared_answer, shared_keys
 from tarja.llm.common import documents, mix, null_id, pair, table, word_hashes, words_of
 
-ROUNDS = 3
+ROUNDS = 4
 
 
 class Level:
@@ -162,21 +162,21 @@ def removed_words(docs: DataFrame, window: int, out: str, schema: pa.Schema, fin
         w = Words(block, window)
         _, first, doc, hi, lo = _smallest(w, told.get(0, {}), bits)
         bound = np.searchsorted(hi >> np.uint64(64 - bits), np.arange((1 << bits) + 1, dtype=np.uint64))
-        rows = np.stack([hi, lo, doc[first].view(np.uint64)], 1) if len(first) else np.zeros((0, 3), np.uint64)
+        rows = np.stack([hi, lo, doc[first].view(np.uint64)])
         for b in range(1 << bits):
             if bound[b + 1] > bound[b]:
-                yield b, block.number, rows[bound[b] : bound[b + 1]].tobytes()
+                yield b, block.number, press(rows[:, bound[b] : bound[b + 1]].tobytes())  # by column: the ids shrink
 
     def answer_names(payloads):
-        parts = [np.frombuffer(p, np.uint64).reshape(-1, 3) for p in payloads]
-        rows = np.concatenate(parts)
-        doc = rows[:, 2].view(np.int64)
-        order = np.lexsort((doc, rows[:, 1], rows[:, 0]))
-        hi, lo, doc = rows[order, 0], rows[order, 1], doc[order]
+        parts = [np.frombuffer(expand(p), np.uint64).reshape(3, -1) for p in payloads]
+        rows = np.concatenate(parts, 1)
+        doc = rows[2].view(np.int64)
+        order = np.lexsort((doc, rows[1], rows[0]))
+        hi, lo, doc = rows[0, order], rows[1, order], doc[order]
         first = np.flatnonzero(np.r_[True, (hi[1:] != hi[:-1]) | (lo[1:] != lo[:-1])])
-        later = np.empty(len(rows), bool)
+        later = np.empty(rows.shape[1], bool)
         later[order] = doc > np.repeat(doc[first], np.diff(np.r_[first, len(doc)]))
-        return [np.packbits(x).tobytes() if x.any() else b"" for x in np.split(later, np.cumsum([len(p) for p in parts])[:-1])]
+        return [np.packbits(x).tobytes() if x.any() else b"" for x in np.split(later, np.cumsum([p.shape[1] for p in parts])[:-1])]
 
     answers = shared.unionAll(ask(held, shared, ask_names, answer_names, 1))
 
