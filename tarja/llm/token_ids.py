@@ -10,7 +10,7 @@ documents of their own; an empty table gives no rows. No text is cut.
 
 from __future__ import annotations
 
-import zlib
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -104,6 +104,27 @@ def unpack(words: np.ndarray) -> np.ndarray:
 
 
 _TOKENIZERS: dict[str, tuple] = {}
+#: One sign between a letter and a blank is a token of its own for every tokenizer of this kind: cut off, words are rarer.
+_SIGN = re.compile(r"(?<=[a-zA-Z])([,.;:!?])(?=[ \n])")
+
+
+class Known(dict):
+    """The ids of pieces, in two generations: when the young one is full it becomes the old one, and pieces that are asked
+    for again move back, so frequent ones stay."""
+
+    def __init__(self, most: int = CACHE):
+        super().__init__({"": b""})
+        self.most, self.old = most, {}
+
+    def __missing__(self, piece: str) -> bytes:
+        code = self[piece] = self.old[piece]
+        return code
+
+    def renew(self) -> None:
+        if len(self) > self.most:
+            self.old = dict(self)
+            self.clear()
+            self[""] = b""
 
 
 def _encoder(path: str):
@@ -112,19 +133,31 @@ def _encoder(path: str):
     if path not in _TOKENIZERS:
         from tokenizers import Tokenizer
 
-        _TOKENIZERS[path] = (Tokenizer.from_file(path), {"": b""})
-    tokenizer, known = _TOKENIZERS[path]
+        loaded = Tokenizer.from_file(path)
+        final = np.zeros(loaded.get_vocab_size() + 1, bool)
+        final[[i for t, i in loaded.get_vocab().items() if t.endswith("</w>") and i < len(final)]] = True
+        _TOKENIZERS[path] = (loaded, Known(), final)
+    tokenizer, known, final = _TOKENIZERS[path]
+
+    def learn(part: list[str]) -> None:
+        # words of letters go through as one text: each ends with one token that ends a word, unless one is several tokens
+        # to the tokenizer, which the count shows
+        words = [p for p in part if p.isalpha()]
+        ids = np.array(tokenizer.encode(" ".join(words), add_special_tokens=False).ids, "<u4")
+        ends = np.flatnonzero(final[np.minimum(ids, len(final) - 1)]) + 1
+        if len(ends) == len(words) and (not len(words) or ends[-1] == len(ids)):
+            code, ends = ids.tobytes(), (4 * ends).tolist()
+            known.update(zip(words, (code[a:b] for a, b in zip([0, *ends], ends))))
+            part = [p for p in part if not p.isalpha()]
+        for p, e in zip(part, tokenizer.encode_batch_fast(part, add_special_tokens=False)):
+            known[p] = np.array(e.ids, "<u4").tobytes()
 
     def encode(texts: list[str]) -> list[bytes]:
-        pieces = [t.replace("\n", " ").split(" ") for t in texts]
-        if len(known) > CACHE:
-            known.clear()
-            known[""] = b""
-        new = list({p for ps in pieces for p in ps if p not in known})
+        pieces = [_SIGN.sub(r" \1", t).replace("\n", " ").split(" ") for t in texts]
+        known.renew()
+        new = list({p for ps in pieces for p in set(ps) if p not in known and p not in known.old})
         for i in range(0, len(new), 20_000):
-            part = new[i : i + 20_000]
-            for p, e in zip(part, tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                known[p] = np.array(e.ids, "<u4").tobytes()
+            learn(new[i : i + 20_000])
         return [b"".join(map(known.__getitem__, ps)) for ps in pieces]
 
     return encode
