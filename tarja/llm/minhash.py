@@ -67,6 +67,11 @@ def signatures(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
+def deeper_bytes(sig: np.ndarray) -> np.ndarray:
+    """A byte of each minimum that depends on all its bits: the minima of large sets are small, so that their own upper bits are all zero."""
+    return (mix(sig.astype(np.uint64), 6) & np.uint64(255)).astype(np.uint8)
+
+
 def set_keys(sets: list[np.ndarray]) -> np.ndarray:
     """A 64-bit name of each set."""
     with np.errstate(over="ignore"):
@@ -91,7 +96,7 @@ def _signed(docs: DataFrame, k: int) -> DataFrame:
                         if d + 1 in LADDER:
                             regions[:, t * len(LADDER) + LADDER.index(d + 1)] = h
                 flat = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1) * regions.shape[1], pa.int32()), pa.array(regions.ravel().view(np.int64)))
-                small = (sig >> np.uint32(24)).astype(np.uint8)
+                small = deeper_bytes(sig)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(set_keys(sets)), flat, pa.array([r.tobytes() for r in small], pa.binary()), pa.array([sketch(s) for s in sets], pa.binary())], schema=out)
 
     return docs.mapInArrow(run, schema)
@@ -165,7 +170,7 @@ def _neighbours(rows: DataFrame, percent: int) -> DataFrame:
 
 def _candidates(nodes: DataFrame, percent: int) -> DataFrame:
     """The forest's pairs (a > b) of keys. nodes: key, n_shingles, regions, sig, sketch. Below the ladder, a tree goes on through the values of
-    the trees behind it, of which the signature's bytes tell enough."""
+    the trees behind it, of which the signature's bytes tell all but one in 256 differences."""
     trees = nodes.select("key", "sig", F.explode(F.transform(F.sequence(F.lit(0), F.lit(TREES - 1)), lambda t: F.struct(F.slice("regions", t * len(LADDER) + 1, len(LADDER)).alias("r"), t.alias("t")))).alias("x")).select("key", "sig", "x.*")
     found, rows = None, trees
     for level, depth in enumerate([*LADDER, *DEEPER]):

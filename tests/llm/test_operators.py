@@ -60,6 +60,14 @@ def test_minhash_links_what_brute_force_links(docs, rows):
     assert got == {i: (len(s), find(i), find(i) == i) for i, s in sets.items()}
 
 
+def test_deeper_levels_tell_long_texts_apart(spark):
+    rng = np.random.default_rng(5)
+    texts = [" ".join(map(str, rng.integers(0, 10**9, 1500))) for _ in range(40)]
+    got = minhash._signed(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), 3).collect()
+    seen = np.frombuffer(b"".join(r["sig"] for r in got), np.uint8)
+    assert np.bincount(seen, minlength=256).max() < 0.02 * len(seen)
+
+
 @pytest.mark.parametrize("few", [0, 10**6])
 def test_components_by_both_ways(spark, few):
     rng = np.random.default_rng(2)
