@@ -3,7 +3,8 @@
 A document's set: distinct shingles of k words (A-Z lower-cased; all words as one with fewer), as 64-bit hashes. Each of `TREES` trees orders
 the signatures by its own hash values; documents with a long common prefix are candidates. The depth adapts to the region:
 from LADDER[0] values on, a region of at most `REGION` members gives its members as neighbours; a larger one is searched
-deeper, and its members also meet in random groups of that size, so that no region makes all its pairs. Members of a group are compared
+deeper, and its members also meet in random groups of that size, so that no region makes all its pairs. What these leave in several
+components is joined exactly by prefixes of rare shingles (`_crowded`). Members of a group are compared
 by sketches of their sets, exact up to `SKETCH` shingles and within `SIGMAS` deviations beyond, and tied by a forest. Equal sets are one node from the start. Links are confirmed on the
 full sets: first each node's best candidate, then the best between any two components, then all that still join two. A pair at the threshold
 is missed by all trees with a chance of 1e-5 at 0.85 (2e-4 at 0.8).
@@ -168,11 +169,11 @@ def _neighbours(rows: DataFrame, percent: int) -> DataFrame:
     return rows.select("group", "key", "n_shingles", "sketch").repartition("group").sortWithinPartitions("group", "key").mapInArrow(run, "a long, b long, near float")
 
 
-def _candidates(nodes: DataFrame, percent: int) -> DataFrame:
-    """The forest's pairs (a > b) of keys. nodes: key, n_shingles, regions, sig, sketch. Below the ladder, a tree goes on through the values of
+def _candidates(nodes: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """The forest's pairs (a > b) of keys, and (group, key) of the first regions of more than REGION. nodes: key, n_shingles, regions, sig, sketch. Below the ladder, a tree goes on through the values of
     the trees behind it, of which the signature's bytes tell all but one in 256 differences."""
     trees = nodes.select("key", "sig", F.explode(F.transform(F.sequence(F.lit(0), F.lit(TREES - 1)), lambda t: F.struct(F.slice("regions", t * len(LADDER) + 1, len(LADDER)).alias("r"), t.alias("t")))).alias("x")).select("key", "sig", "x.*")
-    found, rows = None, trees
+    found, rows, crowds = None, trees, None
     for level, depth in enumerate([*LADDER, *DEEPER]):
         order = F.substring(F.concat("sig", "sig"), F.col("t") * DEPTH + 1, F.lit(depth))
         at = rows.withColumn("group", F.col("r")[level] if depth in LADDER else F.xxhash64(F.col("r")[len(LADDER) - 1], order))
@@ -181,13 +182,14 @@ def _candidates(nodes: DataFrame, percent: int) -> DataFrame:
         if depth != DEEPER[-1]:
             at = written(at, f"depth{depth}")
         small, large = at.where(F.col("n") <= REGION), at.where(F.col("n") > REGION)
+        crowds = large.select("group", "key") if crowds is None else crowds
         chance = F.pmod(F.xxhash64("key", "group", F.lit(level)), F.ceil(F.col("n") / REGION))
         mixed = large.select(F.xxhash64("group", chance, F.lit(depth)).alias("group"), "key")
         here = small.select("group", "key").unionAll(mixed)
         found = here if found is None else found.unionAll(here)
         rows = large.select("key", "sig", "r", "t")
     found = found.join(nodes.select("key", "n_shingles", "sketch").hint("shuffle_merge"), "key")
-    return _neighbours(found, percent).groupBy("a", "b").agg(F.max("near").alias("near"))
+    return _neighbours(found, percent).groupBy("a", "b").agg(F.max("near").alias("near")), crowds
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -229,6 +231,41 @@ def _across(pairs: DataFrame, part: DataFrame) -> DataFrame:
     return both.where("ca <> cb").select("a", "b", "near", F.greatest("ca", "cb").alias("ca"), F.least("ca", "cb").alias("cb"))
 
 
+def _crowded(crowds: DataFrame, part: DataFrame) -> DataFrame:
+    """(key, component) of the members of crowds that are still in several components."""
+    own = crowds.join(part.select(F.col("node").alias("key"), "component").hint("shuffle_merge"), "key", "left").withColumn("component", F.coalesce("component", "key"))
+    several = own.groupBy("group").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi")
+    return own.join(several.select("group").hint("shuffle_merge"), "group", "left_semi").select("key", "component").distinct()
+
+
+def _prefix_pairs(sets: DataFrame, percent: int) -> DataFrame:
+    """All pairs (a > b) of keys in different components that can be alike. sets: key, component, items (sorted uint64).
+
+    Items are ordered by the number of sets that hold them, those of one component only first. Two alike sets share an item of
+    both prefixes: the larger set's leaves out what it must share, percent of it, and the smaller one's 2 * percent / (100 + percent)
+    of it. So members of a family that is less alike than percent do not meet by what the whole family shares. Where two meet, they share at
+    most what lies before the item in either and what lies behind it in either, of the items that other components hold too."""
+    out = pa.schema([("key", pa.int64()), ("component", pa.int64()), ("n", pa.int64()), ("item", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for key, component, x in zip(batch.column(0), batch.column(1), batch.column(2)):
+                x = np.frombuffer(x.as_buffer(), np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), v)) for v in (key.as_py(), component.as_py(), len(x))] + [pa.array(x)], schema=out)
+
+    items = sets.select("key", "component", "items").mapInArrow(run, "key long, component long, n long, item long")
+    held = items.groupBy("item").agg(F.count("*").alias("f"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("item", "f")
+    both = items.join(held.hint("shuffle_merge"), "item").groupBy("key", "component", "n").agg(F.sort_array(F.collect_list(F.struct("f", "item"))).alias("s"))
+    alone = F.col("n") - F.size("s")
+    long, short = F.expr(f"n - ({percent} * n + 99) div 100 + 1"), F.expr(f"n - (2 * {percent} * n + {99 + percent}) div {100 + percent} + 1")
+    both = both.select("key", "component", "n", F.size("s").alias("size"), F.slice("s", F.lit(1), F.greatest(F.lit(0), long - alone).cast("int")).alias("s"), (short - alone).alias("short"))
+    posts = written(both.select("key", "component", "n", "size", "short", F.posexplode("s").alias("at", "x")).select("key", "component", "n", "size", "at", "x.item", (F.col("at") < F.col("short")).alias("short")), "posts")
+    one = posts.where("short").select("item", F.col("key").alias("k"), F.col("component").alias("c"), F.col("n").alias("m"), F.col("size").alias("z"), F.col("at").alias("p"))
+    most, least = "least(at, p) + least(size - at, z - p)", f"({percent} * (n + m) + {99 + percent}) div {100 + percent}"
+    met = posts.join(one.hint("shuffle_merge"), "item").where(f"component <> c and m <= n and 100 * m >= {percent} * n and {most} >= {least}")
+    return met.select(F.greatest("key", "k").alias("a"), F.least("key", "k").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for (doc_id, text); one row per row of docs."""
     signed = written(_signed(docs, words), "signed")
@@ -236,7 +273,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     nodes = full.groupBy("key").agg(F.min("doc_id").alias("rep"))
     member = written(full.select("doc_id", "key", "n_shingles").join(nodes.hint("shuffle_merge"), "key"), "members")
     heads = written(full.join(nodes.hint("shuffle_merge"), "key").where("doc_id = rep").dropDuplicates(["key"]).select("key", "rep", "n_shingles", "regions", "sig", "sketch"), "heads")
-    pairs = written(_candidates(heads, percent), "pairs")
+    pairs, crowds = _candidates(heads, percent)
+    pairs = written(pairs, "pairs")
     reps = heads.select("key", "rep")
     paired = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
     wanted = reps.join(paired.hint("shuffle_merge"), "key", "left_semi").select(F.col("rep").alias("doc_id")).distinct()
@@ -258,7 +296,15 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     links = written(links.unionAll(_confirmed(best, sets, percent)), "links")
     part = written(components(links), "parts")
     rest = _across(rest.select("a", "b", "near").join(best.hint("shuffle_merge"), ["a", "b"], "left_anti"), part).select("a", "b")
-    part = written(components(links.unionAll(_confirmed(rest, sets, percent))), "parts")
+    links = written(links.unionAll(_confirmed(rest, sets, percent)), "links")
+    part = written(components(links), "parts")
+    crowded = written(_crowded(crowds, part), "crowded")
+    if not crowded.isEmpty():
+        wanted = reps.join(crowded.hint("shuffle_merge"), "key", "left_semi").select(F.col("rep").alias("doc_id")).distinct()
+        sets = _sets(docs.join(wanted.hint("shuffle_merge"), "doc_id", "left_semi").select("text"), words).dropDuplicates(["key"])
+        sets = written(sets.join(crowded.hint("shuffle_merge"), "key"), "sets")
+        links = links.unionAll(_confirmed(_prefix_pairs(sets, percent), sets, percent))
+        part = written(components(links), "parts")
     lowest = reps.join(part.withColumnRenamed("node", "key").hint("shuffle_merge"), "key")
     smallest = lowest.groupBy("component").agg(F.min("rep").alias("component_id"))
     lowest = written(lowest.select("key", "component").join(smallest.hint("shuffle_merge"), "component").select("key", "component_id"), "classes")

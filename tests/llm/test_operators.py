@@ -60,6 +60,22 @@ def test_minhash_links_what_brute_force_links(docs, rows):
     assert got == {i: (len(s), find(i), find(i) == i) for i, s in sets.items()}
 
 
+def test_minhash_finds_lone_pairs_in_a_crowded_template(spark):
+    rng = np.random.default_rng(6)
+    word = lambda n: [f"w{x}" for x in rng.integers(0, 10**9, n)]
+    head = word(178)
+    texts = [head + word(22) for _ in range(700)]
+    for i in range(0, 60, 2):  # pairs at the threshold: 7 of the 22 own words are shared
+        texts[i + 1] = texts[i][:185] + word(15)
+    texts[699] = texts[698][:183] + word(17)  # under it
+    sets = [{tuple(t[k : k + 3]) for k in range(len(t) - 2)} for t in texts]
+    alike = lambda i, j: len(sets[i] & sets[j]) / len(sets[i] | sets[j])
+    assert alike(2, 5) < alike(698, 699) < 0.85 <= alike(0, 1) < 0.86
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(docs, 3, 85).collect()}
+    assert got == {i: i - 1 if i < 60 and i % 2 else i for i in range(700)}
+
+
 def test_deeper_levels_tell_long_texts_apart(spark):
     rng = np.random.default_rng(5)
     texts = [" ".join(map(str, rng.integers(0, 10**9, 1500))) for _ in range(40)]
