@@ -5,11 +5,11 @@ Every stage works on all rows its predecessor kept. Null texts go through unchan
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarja.llm import decontaminate, minhash, packing, suffix_dedup, toxicity
-from tarja.llm.common import NULL_ID, documents, null_id, table, written
+from tarja.llm.common import NULL_ID, documents, null_id, partitions, table, written
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -20,22 +20,31 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.reject(docs.select(COLUMNS), model)
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """The rows with `own`, a long of each row's own that ascends with doc_id, null first. Where ids are null or repeated, rows of one
+    id are documents like all others, in the order of their hashes; else `own` is the id."""
+    rows = docs.select(*COLUMNS, F.coalesce("doc_id", F.lit(NULL_ID)).alias("own"))
+    if rows.groupBy("own").count().where("count > 1").isEmpty():
+        return rows
+    rows = rows.withColumns({"tie": F.xxhash64("text", "lang", "source", "n_chars"), "at": F.monotonically_increasing_id()})
+    ranged = rows.repartitionByRange(partitions(docs.sparkSession), "own", "tie", "at").sortWithinPartitions("own", "tie", "at")
+    return written(ranged.select(*COLUMNS, F.monotonically_increasing_id().alias("own")), "keyed")
+
+
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (five words, 0.8) stays: the smallest doc_id, one row of it."""
-    groups = minhash.near_duplicates(documents(docs), words=5, percent=80)
-    kept = groups.where("kept").select(F.col("doc_id").alias("own")).distinct()
-    rows = docs.select(COLUMNS).withColumn("own", F.coalesce("doc_id", F.lit(NULL_ID))).join(kept.hint("shuffle_merge"), "own", "left_semi")
-    first = F.row_number().over(Window.partitionBy("own").orderBy("text", "lang", "source"))
-    return rows.withColumn("row", first).where("row = 1").select(COLUMNS)
+    """One row of each group of near copies (five words, 0.8) stays, of the smallest doc_id."""
+    rows = keyed(docs)
+    kept = minhash.near_duplicates(documents(rows, "own"), words=5, percent=80).where("kept").select(F.col("doc_id").alias("own"))
+    return rows.join(kept.hint("shuffle_merge"), "own", "left_semi").select(COLUMNS)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages of 50 bytes and more that also stand in a document of a smaller doc_id are cut out."""
-    left = suffix_dedup.suffix_dedup(documents(docs)).select(F.col("doc_id").alias("own"), F.col("text").alias("left"))
-    rest = docs.select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("own"), "lang", "source", F.col("text").isNull().alias("none"))
-    rows = rest.join(left.hint("shuffle_merge"), "own").withColumnRenamed("own", "doc_id")
+    """Passages of 50 bytes and more that also stand in a row before, of a smaller doc_id or in the order of `keyed`, are cut out."""
+    rows = keyed(docs)
+    left = suffix_dedup.suffix_dedup(documents(rows, "own")).select(F.col("doc_id").alias("own"), F.col("text").alias("left"))
+    rest = rows.select("own", "doc_id", "lang", "source", F.col("text").isNull().alias("none"))
     text = F.when(~F.col("none"), F.col("left"))
-    return rows.select(null_id(), text.alias("text"), "lang", "source", F.length(text).cast("long").alias("n_chars"))
+    return rest.join(left.hint("shuffle_merge"), "own").select("doc_id", text.alias("text"), "lang", "source", F.length(text).cast("long").alias("n_chars"))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
