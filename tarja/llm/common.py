@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -32,9 +33,11 @@ def null_id(column: str = "doc_id"):
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where none is configured (local runs)."""
+    """The folder that driver and executors share; one of our own only in local runs where none is configured."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = spark.conf.get("spark.tarja.scratch", None)
         if not root:
             root = "file://" + tempfile.mkdtemp(prefix="tarja-")
@@ -118,32 +121,18 @@ def pair(a: np.ndarray, b: np.ndarray, seed: int = 0) -> np.ndarray:
         return mix(a * np.uint64(0x9FB21C651E98DF25) + (b ^ (b >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93), seed)
 
 
-_BYTE = mix(np.arange(256, dtype=np.uint64), 77)
-_BASE = 0x5851F42D4C957F2D  # odd, so that its powers have inverses
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
 
-def _powers(base: int, n: int) -> np.ndarray:
-    out = np.empty(n, np.uint64)
-    out[:1] = 1
-    done, step = 1, base
-    with np.errstate(over="ignore"):
-        while done < n:
-            k = min(done, n - done)
-            out[done : done + k] = out[:k] * np.uint64(step)
-            done += k
-            step = step * step & (2**64 - 1)
-    return out
-
-
-def words_of(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start and end of each word of the texts that stand one after another in data (uint8), and the words' text numbers."""
+def words_of(data: np.ndarray, ends: np.ndarray, space: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start and end of each word of the texts that stand one after another in data (uint8), and the words' text numbers.
+    space: which bytes part words."""
     if not len(data):
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    solid = ~_SPACE[data]
+    solid = ~space[data]
     first = solid.copy()
     first[1:] &= ~solid[:-1]
     starts_of_texts = np.r_[0, ends[:-1]]
@@ -157,15 +146,33 @@ def words_of(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return a, b, np.searchsorted(ends, a, side="right")
 
 
-def word_hashes(data: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each word data[a:b]: a polynomial over random byte values, then mixed with the length."""
+_KEEP = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)  # the lowest k bytes
+_ODD = np.array([0x9FB21C651E98DF25, 0xD6E8FEB86659FD93], np.uint64)
+_LONG = 256
+
+
+def word_hashes(data: np.ndarray, a: np.ndarray, b: np.ndarray, lanes: int = 1) -> list[np.ndarray]:
+    """`lanes` (1 or 2) independent 64-bit hashes of each word data[a:b]: its bytes, eight at a time, each folded in by a
+    bijection of all 64 bits, so that no pattern in long words cancels out; words of over 256 bytes by a cryptographic hash."""
     if not len(a):
-        return np.zeros(0, np.uint64)
-    inverse = pow(_BASE, -1, 2**64)
+        return [np.zeros(0, np.uint64) for _ in range(lanes)]
+    size = b - a
+    eight = np.ndarray((len(data) + 1,), "<u8", np.r_[data, np.zeros(8, np.uint8)], strides=(1,))
+    part = eight[a] & _KEEP[np.minimum(size, 8)]
     with np.errstate(over="ignore"):
-        sums = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(_BYTE[data] * _powers(_BASE, len(data)), out=sums[1:])
-        return mix((sums[b] - sums[a]) * _powers(inverse, len(data))[a] + (b - a).astype(np.uint64), 5)
+        out = [mix(part * _ODD[k] + size.astype(np.uint64) * _ODD[1 - k], 5 + k) for k in range(lanes)]
+        at, more = 8, np.flatnonzero(size > 8)
+        while len(more) and at < _LONG:
+            part = eight[a[more] + at] & _KEEP[np.minimum(size[more] - at, 8)]
+            for k in range(lanes):
+                out[k][more] = mix((out[k][more] ^ part) * _ODD[k], 5 + k)
+            at += 8
+            more = more[size[more] > at]
+        for i in more.tolist():
+            name = hashlib.blake2b(data[a[i] : b[i]].tobytes(), digest_size=16).digest()
+            for k in range(lanes):
+                out[k][i] = int.from_bytes(name[8 * k : 8 * k + 8], "little")
+    return out
 
 
 def texts_as_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

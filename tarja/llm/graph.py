@@ -69,4 +69,6 @@ def components(edges: DataFrame, rounds: int = 60, few: int = FEW) -> DataFrame:
         small = large.join(least.hint("shuffle_merge"), "u")
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionAll(least.select("u", F.col("m").alias("v")))
         now = written(small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "stars")
+    else:
+        raise RuntimeError(f"the components are not found after {rounds} rounds")
     return now.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component")).unionAll(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

@@ -1,12 +1,15 @@
 """Operator 1, MinHash near-dedup by an LSH forest.
 
-A document's set: distinct shingles of k words (A-Z lower-cased; all words as one with fewer), as 64-bit hashes. Each of `TREES` trees orders
-the signatures by its own hash values; documents with a long common prefix are candidates. The depth adapts to the region:
-from LADDER[0] values on, a region of at most `REGION` members gives its members as neighbours; a larger one is searched
-deeper, and its members also meet in random groups of that size, so that no region makes all its pairs. What these leave in several
-components is joined exactly by prefixes of rare shingles (`_crowded`). Members of a group are compared
-by sketches of their sets, exact up to `SKETCH` shingles and within `SIGMAS` deviations beyond, and tied by a forest. Equal sets are one node from the start. Links are confirmed on the
-full sets: first each node's best candidate, then the best between any two components, then all that still join two. A pair at the threshold
+A document's set: distinct shingles of k words (A-Z lower-cased; all words as one with fewer), as 64-bit hashes. Documents of
+one word sequence (a 128-bit cryptographic name of it) are one node from the start. Each of `TREES` trees is a sorted order of
+the nodes by their signatures, each beginning at values of its own. A pass over the orders takes the longest common prefixes of neighbours:
+a region is a run whose neighbours share SHALLOW values or more. A region of at most `REGION` nodes is a group of candidates. In
+a larger one the depth adapts: the parts that share one value more are regions in turn, down to ORDER values, and each node also
+meets its neighbours in the order, whose common prefixes are the longest, in overlapping blocks of REGION. What that leaves in several
+components is joined exactly by prefixes of rare shingles (`_prefix_pairs`), so that no region makes all its pairs and none loses a link. Members of a group are compared
+by sketches of their sets, exact up to `SKETCH` shingles and within `SIGMAS` deviations beyond, and tied by a forest. Links are confirmed on the
+full sets: first each node's best candidate, then the best between any two components, then all that still join two; if the sets refute a link of
+which a sketch was sure, its groups are searched exactly too. A pair at the threshold
 is missed by all trees with a chance of 1e-5 at 0.85 (2e-4 at 0.8).
 
 Null or empty text, or text without words: an empty set, linked with nothing. Repeated rows and equal ids are one node. A null id
@@ -15,6 +18,7 @@ acts as the smallest id and is returned as null. Clashing extra columns are neve
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,7 +29,9 @@ from pyspark.sql import functions as F
 from tarja.llm.common import _LOWER, arrow_rows, documents, groups, mix, null_id, pair, slices, table, texts_as_bytes, word_hashes, words_of, written
 from tarja.llm.graph import components
 
-TREES, DEPTH, LADDER, DEEPER, REGION = 12, 6, (3, 4, 6), (10, 16), 64
+TREES, DEPTH, SHALLOW, ORDER, REGION = 12, 6, 3, 16, 64
+CHUNK = 1 << 17  # rows of an order that a task looks at together
+MARKS = 16  # 64-bit words of the bitmap by which the exact search tells sets apart
 SKETCH, SIGMAS = 256, 4.5
 _RNG = np.random.default_rng(2024)
 _ODD = (_RNG.integers(0, 2**31, TREES * DEPTH, dtype=np.uint64) * 2 + 1).astype(np.uint32)
@@ -36,7 +42,7 @@ def shingle_sets(data: np.ndarray, ends: np.ndarray, k: int) -> list[np.ndarray]
     """Each text's sorted distinct shingle hashes."""
     data = _LOWER[data]
     a, b, text = words_of(data, ends)
-    w = word_hashes(data, a, b)
+    w = word_hashes(data, a, b)[0]
     h, n = w, len(w)
     for i in range(1, k):
         h = pair(h[: max(0, n - i)], w[i:], i)
@@ -68,39 +74,37 @@ def signatures(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def deeper_bytes(sig: np.ndarray) -> np.ndarray:
-    """A byte of each minimum that depends on all its bits: the minima of large sets are small, so that their own upper bits are all zero."""
-    return (mix(sig.astype(np.uint64), 6) & np.uint64(255)).astype(np.uint8)
+def sort_values(sig: np.ndarray) -> np.ndarray:
+    """Sixteen bits of each minimum that depend on all of its own: the minima of large sets are small, so that their upper bits are all zero."""
+    return (mix(sig.astype(np.uint64), 6) & np.uint64(0xFFFF)).astype(">u2")
 
 
-def set_keys(sets: list[np.ndarray]) -> np.ndarray:
-    """A 64-bit name of each set."""
-    with np.errstate(over="ignore"):
-        return np.array([mix(np.array([mix(s, 8).sum(dtype=np.uint64) + np.uint64(len(s))]), 9)[0] for s in sets], np.uint64).view(np.int64)
+def sequence_name(text: bytes) -> bytes:
+    """A 128-bit name of the words in their order; bytes' white space and lower case are those of ASCII."""
+    return hashlib.blake2b(b" ".join(text.lower().split()), digest_size=16).digest()
+
+
+def _names(data: np.ndarray, ends: np.ndarray) -> list[bytes]:
+    text, out, a = data.tobytes(), [], 0
+    for b in ends.tolist():
+        out.append(sequence_name(text[a:b]))
+        a = b
+    return out
 
 
 def _signed(docs: DataFrame, k: int) -> DataFrame:
-    schema = "doc_id long, n_shingles long, key long, regions array<long>, sig binary, sketch binary"
-    out = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("key", pa.int64()), ("regions", pa.list_(pa.int64())), ("sig", pa.binary()), ("sketch", pa.binary())])
+    """doc_id, n_shingles, key (the name of the word sequence), sig (the values to sort by), sketch."""
+    out = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("key", pa.binary()), ("sig", pa.binary()), ("sketch", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch):
-                sets = shingle_sets(*texts_as_bytes(part.column(1)), k)
-                sig = signatures(sets)
-                wide = sig.astype(np.uint64)
-                regions = np.empty((len(sets), TREES * len(LADDER)), np.uint64)
-                for t in range(TREES):
-                    h = np.full(len(sets), t, np.uint64)
-                    for d in range(DEPTH):
-                        h = pair(h, wide[:, t * DEPTH + d], d)
-                        if d + 1 in LADDER:
-                            regions[:, t * len(LADDER) + LADDER.index(d + 1)] = h
-                flat = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1) * regions.shape[1], pa.int32()), pa.array(regions.ravel().view(np.int64)))
-                small = deeper_bytes(sig)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(set_keys(sets)), flat, pa.array([r.tobytes() for r in small], pa.binary()), pa.array([sketch(s) for s in sets], pa.binary())], schema=out)
-
-    return docs.mapInArrow(run, schema)
+            for part in slices(batch, 1 << 20):
+                data, ends = texts_as_bytes(part.column(1))
+                sets = shingle_sets(data, ends, k)
+                sig = sort_values(signatures(sets))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(_names(data, ends), pa.binary()), pa.array([r.tobytes() for r in sig], pa.binary()), pa.array([sketch(s) for s in sets], pa.binary())], schema=out)
+
+    return docs.mapInArrow(run, "doc_id long, n_shingles long, key binary, sig binary, sketch binary")
 
 
 def sketch(items: np.ndarray) -> bytes:
@@ -114,7 +118,7 @@ def sketch(items: np.ndarray) -> bytes:
 
 def group_links(sketches: list[bytes], sizes: np.ndarray, percent: int) -> list[tuple[int, int, float]]:
     """(i, j, similarity) that tie the members which are alike: a spanning forest of the sure links, and every unsure one that
-    would join two of its trees. Small sets' similarities are exact."""
+    would join two of its trees. Small sets' similarities are exact; the sure links' of others count as 2 and more."""
     parts = [np.frombuffer(x, "<u4") for x in sketches]
     halving = max(int(p[0]) for p in parts)
     parts = [p[1:] if halving == 0 else p[1:][p[1:] < 1 << (32 - halving)] for p in parts]
@@ -142,7 +146,7 @@ def group_links(sketches: list[bytes], sizes: np.ndarray, percent: int) -> list[
             new = np.flatnonzero(link.any(0))
             by = front[np.where(link[:, new], near[front][:, new], -1).argmax(0)] if len(new) else new
             tree[new] = root
-            out += [(i, j, float(near[i, j])) for i, j in zip(by.tolist(), new.tolist())]
+            out += [(i, j, float(near[i, j]) + 2 * (halving > 0)) for i, j in zip(by.tolist(), new.tolist())]
             front = new
     if halving:
         i, j = np.nonzero(np.triu(fits & (near >= least - margin) & (tree[:, None] != tree[None, :])))
@@ -151,7 +155,7 @@ def group_links(sketches: list[bytes], sizes: np.ndarray, percent: int) -> list[
 
 
 def _neighbours(rows: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a > b) of keys that tie the members of each group. rows: group, key, n_shingles, sketch; groups are small."""
+    """Pairs (a > b) of nodes that tie the members of each group. rows: group, node, n_shingles, sketch; groups have REGION members at most."""
     out = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("near", pa.float32())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -160,42 +164,103 @@ def _neighbours(rows: DataFrame, percent: int) -> DataFrame:
             t = pa.Table.from_batches(parts)
             if t.num_rows == 1:
                 continue
-            key = t.column("key").to_numpy()
+            node = t.column("node").to_numpy()
             for i, j, near in group_links(t.column("sketch").to_pylist(), t.column("n_shingles").to_numpy(), percent):
-                add(max(int(key[i]), int(key[j])), min(int(key[i]), int(key[j])), near)
+                if node[i] != node[j]:
+                    add(max(int(node[i]), int(node[j])), min(int(node[i]), int(node[j])), near)
             yield from take()
         yield from take(True)
 
-    return rows.select("group", "key", "n_shingles", "sketch").repartition("group").sortWithinPartitions("group", "key").mapInArrow(run, "a long, b long, near float")
-
-
-def _candidates(nodes: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
-    """The forest's pairs (a > b) of keys, and (group, key) of the first regions of more than REGION. nodes: key, n_shingles, regions, sig, sketch. Below the ladder, a tree goes on through the values of
-    the trees behind it, of which the signature's bytes tell all but one in 256 differences."""
-    trees = nodes.select("key", "sig", F.explode(F.transform(F.sequence(F.lit(0), F.lit(TREES - 1)), lambda t: F.struct(F.slice("regions", t * len(LADDER) + 1, len(LADDER)).alias("r"), t.alias("t")))).alias("x")).select("key", "sig", "x.*")
-    found, rows, crowds = None, trees, None
-    for level, depth in enumerate([*LADDER, *DEEPER]):
-        order = F.substring(F.concat("sig", "sig"), F.col("t") * DEPTH + 1, F.lit(depth))
-        at = rows.withColumn("group", F.col("r")[level] if depth in LADDER else F.xxhash64(F.col("r")[len(LADDER) - 1], order))
-        sizes = at.groupBy("group").agg(F.count("*").alias("n")).where("n > 1")
-        at = at.join(sizes.hint("shuffle_merge"), "group")
-        if depth != DEEPER[-1]:
-            at = written(at, f"depth{depth}")
-        small, large = at.where(F.col("n") <= REGION), at.where(F.col("n") > REGION)
-        crowds = large.select("group", "key") if crowds is None else crowds
-        chance = F.pmod(F.xxhash64("key", "group", F.lit(level)), F.ceil(F.col("n") / REGION))
-        mixed = large.select(F.xxhash64("group", chance, F.lit(depth)).alias("group"), "key")
-        here = small.select("group", "key").unionAll(mixed)
-        found = here if found is None else found.unionAll(here)
-        rows = large.select("key", "sig", "r", "t")
-    found = found.join(nodes.select("key", "n_shingles", "sketch").hint("shuffle_merge"), "key")
-    return _neighbours(found, percent).groupBy("a", "b").agg(F.max("near").alias("near")), crowds
+    return rows.select("group", "node", "n_shingles", "sketch").repartition("group").sortWithinPartitions("group", "node").mapInArrow(run, "a long, b long, near float")
+
+
+def regions(tree: np.ndarray, order: np.ndarray, node: np.ndarray, open_left: bool, open_right: bool) -> tuple[list, list]:
+    """The groups and crowds of a stretch of the sorted orders: lists of (group, nodes). tree, order (rows of ORDER values) and
+    node are sorted; an open end goes on elsewhere, so that what touches it counts as a crowd. A crowd's number is its tree and
+    its first SHALLOW values."""
+    n = len(node)
+    same = (order[1:] == order[:-1]) & (tree[1:] == tree[:-1])[:, None]
+    common = np.r_[0, np.where(same.all(1), ORDER, same.argmin(1))] if n else np.zeros(0, np.int64)
+    found, crowds = [], []
+
+    def part(a: np.ndarray, b: np.ndarray, depth: int) -> None:
+        number = mix(node[a].astype(np.uint64) * np.uint64(1 << 11) + tree[a].astype(np.uint64) * np.uint64(128) + np.uint64(depth), 11).view(np.int64)
+        found.extend(zip(number.tolist(), a.tolist(), b.tolist()))
+
+    start = np.flatnonzero(common < SHALLOW)
+    stop = np.r_[start[1:], n]
+    edge = np.zeros(len(start), bool)
+    edge[:1] |= open_left
+    edge[-1:] |= open_right
+    size = stop - start
+    small = (size > 1) & (size <= REGION)
+    part(start[small], stop[small], SHALLOW)
+    crowded = (size > REGION) | edge
+    name = (tree[start].astype(np.int64) << 48) | (order[start, 0].astype(np.int64) << 32) | (order[start, 1].astype(np.int64) << 16) | order[start, 2].astype(np.int64) if n else start
+    crowds.extend(zip(name[crowded].tolist(), start[crowded].tolist(), stop[crowded].tolist()))
+    for a, b in zip(start[size > REGION].tolist(), stop[size > REGION].tolist()):
+        left = np.arange(a, b - REGION // 2, REGION // 2)
+        part(left, np.minimum(left + REGION, b), 0)
+        todo = [(a, b)]
+        for depth in range(SHALLOW + 1, ORDER + 1):
+            deeper = []
+            for x, y in todo:
+                inner = np.r_[x, x + 1 + np.flatnonzero(common[x + 1 : y] < depth)]
+                outer = np.r_[inner[1:], y]
+                size_ = outer - inner
+                fits = (size_ > REGION // 2) & (size_ <= REGION)  # smaller ones stand within a block
+                part(inner[fits], outer[fits], depth)
+                deeper += [(p, q) for p, q in zip(inner[size_ > REGION].tolist(), outer[size_ > REGION].tolist())]
+            todo = deeper
+    return found, crowds
+
+
+def _regions(nodes: DataFrame) -> DataFrame:
+    """(group, node, crowd): the groups of candidates of all orders, and, where crowd is true, the members of crowds."""
+    out = pa.schema([("group", pa.int64()), ("node", pa.int64()), ("crowd", pa.bool_())])
+    trees = nodes.select("node", F.concat("sig", "sig").alias("sig"), F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree"))
+    rows = trees.select("tree", F.substring("sig", F.col("tree") * 2 * DEPTH + 1, F.lit(2 * ORDER)).alias("order"), "node")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        open_left = True
+
+        def stretch(last: bool):
+            nonlocal held, open_left
+            t = pa.Table.from_batches(held).combine_chunks()
+            tree, node = t.column(0).to_numpy(), t.column(2).to_numpy()
+            order = np.frombuffer(texts_as_bytes(t.column(1))[0].tobytes(), ">u2").reshape(-1, ORDER)
+            n = cut = len(node)
+            if not last:  # up to the last place where no region goes on
+                apart = np.flatnonzero((order[1:, :SHALLOW] != order[:-1, :SHALLOW]).any(1) | (tree[1:] != tree[:-1])) + 1
+                cut = int(apart[-1]) if len(apart) else n
+            found, crowds = regions(tree[:cut], order[:cut], node[:cut], open_left, last or cut == n)
+            open_left = cut == n
+            held = t.slice(cut).to_batches() if cut < n else []
+            for rows, crowd in ((found, False), (crowds, True)):
+                for i in range(0, len(rows), 4096):
+                    number, a, b = (np.array(x, np.int64) for x in zip(*rows[i : i + 4096]))
+                    size = b - a
+                    at = np.repeat(a - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+                    for j in range(0, len(at), 1 << 16):
+                        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(number, size)[j : j + (1 << 16)]), pa.array(node[at[j : j + (1 << 16)]]), pa.array(np.full(len(at[j : j + (1 << 16)]), crowd))], schema=out)
+
+        for batch in batches:
+            if batch.num_rows:
+                held.append(batch)
+            if sum(b.num_rows for b in held) >= CHUNK:
+                yield from stretch(False)
+        if held:
+            yield from stretch(True)
+
+    ordered = rows.repartitionByRange("tree", "order", "node").sortWithinPartitions("tree", "order", "node")
+    return written(ordered.mapInArrow(run, "group long, node long, crowd boolean"), "regions")
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b, ...) whose sets meet 100 * intersection >= percent * union. sets: key, items (sorted uint64)."""
+    """The pairs (a, b, ...) whose sets meet 100 * intersection >= percent * union. sets: node, items (sorted uint64)."""
     rest = [c for c in pairs.columns if c not in ("a", "b")]
-    both = pairs.join(sets.select(F.col("key").alias("a"), F.col("items").alias("x")).hint("shuffle_merge"), "a").join(sets.select(F.col("key").alias("b"), F.col("items").alias("y")).hint("shuffle_merge"), "b")
+    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("items").alias("x")).hint("shuffle_merge"), "a").join(sets.select(F.col("node").alias("b"), F.col("items").alias("y")).hint("shuffle_merge"), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -212,16 +277,19 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.select("a", "b", *rest, "x", "y").mapInArrow(run, shape)
 
 
-def _sets(docs: DataFrame, k: int) -> DataFrame:
-    out = pa.schema([("key", pa.int64()), ("items", pa.binary())])
+def _sets(docs: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
+    """(node, items): the full sets of nodes (node, key, rep, ...), from the texts of their first documents."""
+    out = pa.schema([("key", pa.binary()), ("items", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch):
-                sets = shingle_sets(*texts_as_bytes(part.column(0)), k)
-                yield pa.RecordBatch.from_arrays([pa.array(set_keys(sets)), pa.array([s.tobytes() for s in sets], pa.binary())], schema=out)
+            for part in slices(batch, 1 << 20):
+                data, ends = texts_as_bytes(part.column(0))
+                yield pa.RecordBatch.from_arrays([pa.array(_names(data, ends), pa.binary()), pa.array([s.tobytes() for s in shingle_sets(data, ends, k)], pa.binary())], schema=out)
 
-    return docs.mapInArrow(run, "key long, items binary")
+    texts = docs.join(nodes.select(F.col("rep").alias("doc_id")).distinct().hint("shuffle_merge"), "doc_id", "left_semi").select("text")
+    sets = texts.mapInArrow(run, "key binary, items binary").join(nodes.select("key", "node").hint("shuffle_merge"), "key")
+    return written(sets.groupBy("node").agg(F.first("items").alias("items")), "sets")
 
 
 def _across(pairs: DataFrame, part: DataFrame) -> DataFrame:
@@ -232,83 +300,99 @@ def _across(pairs: DataFrame, part: DataFrame) -> DataFrame:
 
 
 def _crowded(crowds: DataFrame, part: DataFrame) -> DataFrame:
-    """(key, component) of the members of crowds that are still in several components."""
-    own = crowds.join(part.select(F.col("node").alias("key"), "component").hint("shuffle_merge"), "key", "left").withColumn("component", F.coalesce("component", "key"))
+    """(node, component) of the members of crowds (group, node) that are still in several components."""
+    own = crowds.join(part.hint("shuffle_merge"), "node", "left").withColumn("component", F.coalesce("component", "node"))
     several = own.groupBy("group").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi")
-    return own.join(several.select("group").hint("shuffle_merge"), "group", "left_semi").select("key", "component").distinct()
+    return own.join(several.select("group").hint("shuffle_merge"), "group", "left_semi").select("node", "component").distinct()
 
 
 def _prefix_pairs(sets: DataFrame, percent: int) -> DataFrame:
-    """All pairs (a > b) of keys in different components that can be alike. sets: key, component, items (sorted uint64).
+    """All pairs (a > b) of nodes in different components that can be alike. sets: node, component, items (sorted uint64).
 
     Items are ordered by the number of sets that hold them, those of one component only first. Two alike sets share an item of
     both prefixes: the larger set's leaves out what it must share, percent of it, and the smaller one's 2 * percent / (100 + percent)
     of it. So members of a family that is less alike than percent do not meet by what the whole family shares. Where two meet, they share at
-    most what lies before the item in either and what lies behind it in either, of the items that other components hold too."""
-    out = pa.schema([("key", pa.int64()), ("component", pa.int64()), ("n", pa.int64()), ("item", pa.int64())])
+    most what lies before the item in either and what lies behind it in either, of the items that other components hold too;
+    and bitmaps of sets, a bit for each item, differ in at most as many bits as the sets differ in items. No alike pair fails either bound."""
+    out = pa.schema([("node", pa.int64()), ("component", pa.int64()), ("n", pa.int64()), ("bits", pa.list_(pa.int64())), ("items", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for key, component, x in zip(batch.column(0), batch.column(1), batch.column(2)):
-                x = np.frombuffer(x.as_buffer(), np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), v)) for v in (key.as_py(), component.as_py(), len(x))] + [pa.array(x)], schema=out)
-
-    items = sets.select("key", "component", "items").mapInArrow(run, "key long, component long, n long, item long")
+            items = [np.frombuffer(x.as_buffer(), np.uint64) for x in batch.column(2)]
+            bits = np.zeros((len(items), 64 * MARKS), bool)
+            for row, x in zip(bits, items):
+                row[(x % np.uint64(64 * MARKS)).astype(np.int64)] = True
+            marks = np.packbits(bits, axis=1).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([len(x) for x in items], pa.int64()), pa.array(list(marks), pa.list_(pa.int64())), pa.array([x.view(np.int64) for x in items], pa.list_(pa.int64()))], schema=out)
+
+    whole = written(sets.select("node", "component", "items").mapInArrow(run, "node long, component long, n long, bits array<long>, items array<long>"), "crowd")
+    items = whole.select("node", "component", F.explode("items").alias("item"))
     held = items.groupBy("item").agg(F.count("*").alias("f"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("item", "f")
-    both = items.join(held.hint("shuffle_merge"), "item").groupBy("key", "component", "n").agg(F.sort_array(F.collect_list(F.struct("f", "item"))).alias("s"))
+    both = items.join(held.hint("shuffle_merge"), "item").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("f", "item"))).alias("s"))
+    both = both.join(whole.select("node", "component", "n", "bits").hint("shuffle_merge"), "node")
     alone = F.col("n") - F.size("s")
     long, short = F.expr(f"n - ({percent} * n + 99) div 100 + 1"), F.expr(f"n - (2 * {percent} * n + {99 + percent}) div {100 + percent} + 1")
-    both = both.select("key", "component", "n", F.size("s").alias("size"), F.slice("s", F.lit(1), F.greatest(F.lit(0), long - alone).cast("int")).alias("s"), (short - alone).alias("short"))
-    posts = written(both.select("key", "component", "n", "size", "short", F.posexplode("s").alias("at", "x")).select("key", "component", "n", "size", "at", "x.item", (F.col("at") < F.col("short")).alias("short")), "posts")
-    one = posts.where("short").select("item", F.col("key").alias("k"), F.col("component").alias("c"), F.col("n").alias("m"), F.col("size").alias("z"), F.col("at").alias("p"))
+    both = both.select("node", "component", "n", "bits", F.size("s").alias("size"), F.slice("s", F.lit(1), F.greatest(F.lit(0), long - alone).cast("int")).alias("s"), (short - alone).alias("short"))
+    posts = written(both.select("node", "component", "n", "bits", "size", "short", F.posexplode("s").alias("at", "x")).select("node", "component", "n", *[F.col("bits")[k].alias(f"b{k}") for k in range(MARKS)], "size", "at", "x.item", (F.col("at") < F.col("short")).alias("short")), "posts")
+    one = posts.where("short").select("item", F.col("node").alias("k"), F.col("component").alias("c"), F.col("n").alias("m"), F.col("size").alias("z"), F.col("at").alias("p"), *[F.col(f"b{k}").alias(f"c{k}") for k in range(MARKS)])
     most, least = "least(at, p) + least(size - at, z - p)", f"({percent} * (n + m) + {99 + percent}) div {100 + percent}"
-    met = posts.join(one.hint("shuffle_merge"), "item").where(f"component <> c and m <= n and 100 * m >= {percent} * n and {most} >= {least}")
-    return met.select(F.greatest("key", "k").alias("a"), F.least("key", "k").alias("b")).distinct()
+    apart = " + ".join(f"bit_count(b{k} ^ c{k})" for k in range(MARKS))
+    met = posts.join(one.hint("shuffle_merge"), "item").where(f"component <> c and m <= n and 100 * m >= {percent} * n and {most} >= {least} and {apart} <= n + m - 2 * ({least})")
+    return met.select(F.greatest("node", "k").alias("a"), F.least("node", "k").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for (doc_id, text); one row per row of docs."""
     signed = written(_signed(docs, words), "signed")
     full = signed.where("n_shingles > 0")
-    nodes = full.groupBy("key").agg(F.min("doc_id").alias("rep"))
-    member = written(full.select("doc_id", "key", "n_shingles").join(nodes.hint("shuffle_merge"), "key"), "members")
-    heads = written(full.join(nodes.hint("shuffle_merge"), "key").where("doc_id = rep").dropDuplicates(["key"]).select("key", "rep", "n_shingles", "regions", "sig", "sketch"), "heads")
-    pairs, crowds = _candidates(heads, percent)
-    pairs = written(pairs, "pairs")
-    reps = heads.select("key", "rep")
-    paired = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
-    wanted = reps.join(paired.hint("shuffle_merge"), "key", "left_semi").select(F.col("rep").alias("doc_id")).distinct()
-    texts = docs.join(wanted.hint("shuffle_merge"), "doc_id", "left_semi").select("text")
-    sets = written(_sets(texts, words).dropDuplicates(["key"]), "sets")
+    heads = full.groupBy("key").agg(F.min("doc_id").alias("rep"), *[F.first(c).alias(c) for c in ("n_shingles", "sig", "sketch")])  # a key has one set
+    heads = written(heads.withColumn("node", F.monotonically_increasing_id()), "heads")
+    regions_ = _regions(heads)
+    found = regions_.where("not crowd").select("group", "node")
+    compared = _neighbours(found.join(heads.select("node", "n_shingles", "sketch").hint("shuffle_merge"), "node"), percent)
+    pairs = written(compared.groupBy("a", "b").agg(F.max("near").alias("near")), "pairs")
+    paired = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    sets = _sets(docs, heads.select("node", "key", "rep").join(paired.hint("shuffle_merge"), "node", "left_semi"), words)
     either = pairs.unionAll(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "near"))
-    best = either.groupBy("a").agg(F.max_by("b", F.struct("near", "b")).alias("b"))
-    tried = written(best.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "tried")
+    best = either.groupBy("a").agg(F.max_by(F.struct("b", "near"), F.struct("near", "b")).alias("b"))
+    tried = written(best.select(F.greatest("a", "b.b").alias("a"), F.least("a", "b.b").alias("b"), F.col("b.near").alias("near")).distinct(), "tried")
+    confirmed = written(_confirmed(tried, sets, percent), "confirmed")
+    links = confirmed.select("a", "b")
     # rows of one id are one document, whatever their texts
-    same = member.select("key", "doc_id").distinct().groupBy("doc_id").agg(F.min("key").alias("a"), F.max("key").alias("b"), F.count("*").alias("n")).where("n > 1")
-    same = member.select("key", "doc_id").distinct().join(same.hint("shuffle_merge"), "doc_id").select(F.col("key").alias("a"), F.col("a").alias("b"))
-    links = written(_confirmed(tried, sets, percent).unionAll(same), "links")
+    same = full.groupBy("doc_id").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).where("lo <> hi")
+    same = written(full.select("doc_id", "key").join(same.select("doc_id", "lo").hint("shuffle_merge"), "doc_id").select("key", "lo").distinct(), "same")
+    if not same.isEmpty():
+        one, two = heads.select("key", F.col("node").alias("a")), heads.select(F.col("key").alias("lo"), F.col("node").alias("b"))
+        links = links.unionAll(same.join(one.hint("shuffle_merge"), "key").join(two.hint("shuffle_merge"), "lo").select("a", "b"))
     part = written(components(links), "parts")
     # of the pairs that would still join two components, first the best of each two components, then all that are left
-    rest = pairs.join(tried.hint("shuffle_merge"), ["a", "b"], "left_anti")
+    rest = pairs.join(tried.select("a", "b").hint("shuffle_merge"), ["a", "b"], "left_anti")
     rest = written(_across(rest, part), "across")
-    best = rest.groupBy("ca", "cb").agg(F.max_by(F.struct("a", "b"), F.struct("near", "a", "b")).alias("p")).select("p.*")
+    best = rest.groupBy("ca", "cb").agg(F.max_by(F.struct("a", "b", "near"), F.struct("near", "a", "b")).alias("p")).select("p.*")
     best = written(best, "tried")
-    links = written(links.unionAll(_confirmed(best, sets, percent)), "links")
+    second = written(_confirmed(best, sets, percent), "confirmed")
+    links = written(links.unionAll(second.select("a", "b")), "links")
     part = written(components(links), "parts")
-    rest = _across(rest.select("a", "b", "near").join(best.hint("shuffle_merge"), ["a", "b"], "left_anti"), part).select("a", "b")
-    links = written(links.unionAll(_confirmed(rest, sets, percent)), "links")
+    last = written(_across(rest.select("a", "b", "near").join(best.select("a", "b").hint("shuffle_merge"), ["a", "b"], "left_anti"), part).select("a", "b", "near"), "tried")
+    third = written(_confirmed(last, sets, percent), "confirmed")
+    links = written(links.unionAll(third.select("a", "b")), "links")
     part = written(components(links), "parts")
+    crowds = regions_.where("crowd").select("group", "node")
+    # a link of which a sketch was sure stood for others of its group: if the sets refute it, the group is searched exactly
+    refuted = tried.unionAll(best).unionAll(last).where("near >= 2").select("a", "b").exceptAll(confirmed.unionAll(second).unionAll(third).where("near >= 2").select("a", "b"))
+    refuted = written(refuted.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "refuted")
+    if not refuted.isEmpty():
+        of = found.join(refuted.hint("shuffle_merge"), "node", "left_semi").select("group").distinct()
+        crowds = crowds.unionAll(found.join(of.hint("shuffle_merge"), "group", "left_semi"))
     crowded = written(_crowded(crowds, part), "crowded")
     if not crowded.isEmpty():
-        wanted = reps.join(crowded.hint("shuffle_merge"), "key", "left_semi").select(F.col("rep").alias("doc_id")).distinct()
-        sets = _sets(docs.join(wanted.hint("shuffle_merge"), "doc_id", "left_semi").select("text"), words).dropDuplicates(["key"])
-        sets = written(sets.join(crowded.hint("shuffle_merge"), "key"), "sets")
-        links = links.unionAll(_confirmed(_prefix_pairs(sets, percent), sets, percent))
+        sets = _sets(docs, heads.select("node", "key", "rep").join(crowded.select("node").hint("shuffle_merge"), "node", "left_semi"), words)
+        links = links.unionAll(_confirmed(_prefix_pairs(sets.join(crowded.hint("shuffle_merge"), "node"), percent), sets, percent))
         part = written(components(links), "parts")
-    lowest = reps.join(part.withColumnRenamed("node", "key").hint("shuffle_merge"), "key")
-    smallest = lowest.groupBy("component").agg(F.min("rep").alias("component_id"))
-    lowest = written(lowest.select("key", "component").join(smallest.hint("shuffle_merge"), "component").select("key", "component_id"), "classes")
-    done = member.join(lowest.hint("shuffle_merge"), "key", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "rep").alias("component_id"))
+    whole = heads.select("node", "key", "rep").join(part.hint("shuffle_merge"), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    smallest = whole.groupBy("component").agg(F.min("rep").alias("component_id"))
+    classes = written(whole.select("key", "component").join(smallest.hint("shuffle_merge"), "component").select("key", "component_id"), "classes")
+    done = full.select("doc_id", "n_shingles", "key").join(classes.hint("shuffle_merge"), "key").select("doc_id", "n_shingles", "component_id")
     done = done.unionAll(signed.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
     return done.withColumn("kept", F.col("doc_id") == F.col("component_id"))
 

@@ -5,7 +5,7 @@ which the first is in the left and the second in the right half of the names (ha
 is a hash of what it stands for, so all tasks name alike. A symbol whose making a window alone decides is the same wherever
 the window stands; each window is keyed by its first such symbol of the highest level that has one. A Spark round finds the
 symbols that two documents share; only windows with a shared symbol go on. These are named whole by doubling (pairs of names
-of 1, 2, 4 and 8 words, two 64-bit lanes), a second Spark round finds the smallest document of each window name, and the
+of 1, 2, 4 and 8 words, two 64-bit lanes from two independent hashes of each word), a second Spark round finds the smallest document of each window name, and the
 windows of later documents are removed. Windows are judged on the input, so order and sharding do not matter.
 
 Null text counts as empty. Only strictly smaller ids remove: rows with equal ids leave each other alone. A null id acts as
@@ -92,7 +92,7 @@ class Words:
     def __init__(self, block: Block, window: int):
         self.block, self.window = block, window
         self.a, self.b, self.text = words_of(block.data, block.ends)
-        self.w = word_hashes(block.data, self.a, self.b)
+        self.w, self.w2 = word_hashes(block.data, self.a, self.b, 2)
         n = len(self.w)
         stop = np.searchsorted(self.text, self.text, side="right") if n else np.zeros(0, np.int64)
         self.starts = np.flatnonzero(np.arange(n) + window <= stop)
@@ -117,7 +117,7 @@ class Words:
         """Two lanes of the names of the windows that begin at words `at`."""
         out = []
         for lane in (0, 1):
-            whole, done, level, span = None, 0, self.w if not lane else mix(self.w.copy(), 7), 1
+            whole, done, level, span = None, 0, (self.w, self.w2)[lane], 1
             rest = self.window
             while rest:
                 if rest & 1:

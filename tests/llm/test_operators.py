@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 
 from oracle import connect, differences
-from tarja.llm import chat, decontaminate, fingerprint, graph, langid, minhash, packing, recompress, registry, suffix_dedup, token_ids, toxicity
+from tarja.llm import chat, common, decontaminate, fingerprint, graph, langid, minhash, packing, recompress, registry, suffix_dedup, token_ids, toxicity
 from tarja.llm.common import documents, table
 from tarja.llm.suffix import sorted_suffixes
 
@@ -76,11 +76,87 @@ def test_minhash_finds_lone_pairs_in_a_crowded_template(spark):
     assert got == {i: i - 1 if i < 60 and i % 2 else i for i in range(700)}
 
 
+def _thue_morse(a: str, b: str, n: int) -> str:
+    return "".join((a, b)[bin(i).count("1") & 1] for i in range(n))
+
+
+def test_structured_words_do_not_share_a_hash(spark):
+    one, two = _thue_morse("a", "b", 2048), _thue_morse("b", "a", 2048)
+    data = np.frombuffer((one + two + "a" * 200 + "b" * 200).encode(), np.uint8)
+    edges = np.array([0, 2048, 4096, 4296, 4496])
+    for lane in common.word_hashes(data, edges[:-1], edges[1:], 2):
+        assert len(set(lane.tolist())) == 4
+    docs = spark.createDataFrame([(i, " ".join([w] * 13)) for i, w in enumerate((one, two))], "doc_id long, text string")
+    assert {r["doc_id"]: r["n_removed"] for r in recompress.substring_dedup(docs).collect()} == {0: 0, 1: 0}
+    assert {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(docs, 3, 85).collect()} == {0: 0, 1: 1}
+
+
+def test_regions_of_a_sorted_order():
+    rng = np.random.default_rng(8)
+    order = rng.integers(0, 3, (900, minhash.ORDER)).astype(">u2")
+    tree = np.repeat([0, 1, 2], 300).astype(np.int32)
+    by = np.lexsort((*order.T[::-1], tree))
+    order, node = order[by], np.arange(900)
+    found, crowds = minhash.regions(tree, order, node, False, False)
+    for _, a, b in found:
+        assert 1 < b - a <= minhash.REGION
+    together = {(i, j) for _, a, b in found for i in range(a, b) for j in range(i + 1, b)}
+    prefix = lambda i: (tree[i], *order[i, : minhash.SHALLOW])
+    size = {}
+    for i in range(900):
+        size[prefix(i)] = size.get(prefix(i), 0) + 1
+    for i in range(900):
+        for j in range(i + 1, 900):
+            if prefix(i) == prefix(j) and (size[prefix(i)] <= minhash.REGION or j - i <= minhash.REGION // 2):
+                assert (i, j) in together
+    open_ = minhash.regions(tree, order, node, True, True)[1]
+    assert {a for _, a, _ in crowds} <= {a for _, a, _ in open_} and {0, 900} <= {x for _, a, b in open_ for x in (a, b)}
+
+
+def test_long_texts_in_a_large_family(spark):
+    """Sets above the sketches' size in regions above REGION: near copies, copies at the threshold and copies under it."""
+    rng = np.random.default_rng(9)
+    word = lambda n: [f"w{x}" for x in rng.integers(0, 10**9, n)]
+    texts = []
+    for family in range(2):
+        head = word(600)
+        for i in range(90):
+            t = list(head)
+            for at in rng.choice(600, int(rng.integers(0, 34)), replace=False):
+                t[at] = word(1)[0]
+            texts.append(t)
+    sets = [{tuple(t[k : k + 3]) for k in range(len(t) - 2)} for t in texts]
+    up = list(range(len(texts)))
+
+    def find(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for i in range(len(texts)):
+        for j in range(i):
+            if 100 * len(sets[i] & sets[j]) >= 85 * len(sets[i] | sets[j]):
+                a, b = find(i), find(j)
+                up[max(a, b)] = min(a, b)
+    assert 5 < len({find(i) for i in range(len(texts))}) < 170
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(docs, 3, 85).collect()}
+    assert got == {i: find(i) for i in range(len(texts))}
+
+
+def test_minhash_with_null_and_repeated_ids_and_clashing_columns(spark):
+    rows = [(None, "a b c d", 1), (None, "p q r s", 1), (4, "a b c d", 1), (4, "x y z v", 1), (9, "x y z v", 1), (9, "x y z v", 1), (7, "", 1), (8, "p q r s t u", 1)]
+    docs = documents(spark.createDataFrame(rows, "doc_id long, text string, node long"))
+    got = sorted((r["doc_id"], r["component_id"], r["kept"]) for r in minhash.near_duplicates(docs, 3, 85).collect())
+    low = common.NULL_ID
+    assert got == [(low, low, True), (low, low, True), (4, low, False), (4, low, False), (7, 7, True), (8, 8, True), (9, low, False), (9, low, False)]
+
+
 def test_deeper_levels_tell_long_texts_apart(spark):
     rng = np.random.default_rng(5)
     texts = [" ".join(map(str, rng.integers(0, 10**9, 1500))) for _ in range(40)]
     got = minhash._signed(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), 3).collect()
-    seen = np.frombuffer(b"".join(r["sig"] for r in got), np.uint8)
+    seen = np.frombuffer(b"".join(r["sig"] for r in got), ">u2") >> 8
     assert np.bincount(seen, minlength=256).max() < 0.02 * len(seen)
 
 
