@@ -302,8 +302,10 @@ def _across(pairs: DataFrame, part: DataFrame) -> DataFrame:
 def _crowded(crowds: DataFrame, part: DataFrame) -> DataFrame:
     """(node, component) of the members of crowds (group, node) that are still in several components."""
     own = crowds.join(part.hint("shuffle_merge"), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    own = written(own, "crowds")
     several = own.groupBy("group").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi")
-    return own.join(several.select("group").hint("shuffle_merge"), "group", "left_semi").select("node", "component").distinct()
+    several = written(several.select("group"), "several")  # so that the join stands alone and a large crowd can be split
+    return own.join(several.hint("shuffle_merge"), "group", "left_semi").select("node", "component").distinct()
 
 
 def _prefix_pairs(sets: DataFrame, percent: int) -> DataFrame:
