@@ -10,21 +10,22 @@ documents of their own; an empty table gives no rows. No text is cut.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tarja.llm.common import arrow_rows, documents, null_id, partitions, slices, table, written
+from tarja.llm.common import arrow_rows, documents, mix, null_id, partitions, slices, table, texts_as_bytes, word_hashes, words_of, written
 
 COUNTS = np.array([60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1], np.int64)
 BITS = 60 // COUNTS
 ESCAPE = 15
 BLOCK_IDS = 1 << 16
-CACHE = 400_000
+CACHE = 1 << 21  # pieces a task remembers; the ids do not depend on it
+STEP = 1 << 16  # pieces looked up together
 
 
 def pack(ids: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -34,12 +35,10 @@ def pack(ids: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     counts = np.diff(np.r_[0, ends])
     if not n:
         return np.zeros(0, np.uint64), np.zeros(len(ends), np.uint32)
-    width = np.ones(n, np.uint8)
-    for b in range(1, 64):
-        over = ids >= np.uint64(1 << b)
-        if not over.any():
-            break
-        width[over] = b + 1
+    low = ids & np.uint64(0xFFFFFFFF)
+    width = np.maximum(1, np.frexp(low.astype(np.float64))[1]).astype(np.uint8)
+    high = np.flatnonzero(ids != low)
+    width[high] = 32 + np.frexp((ids[high] >> np.uint64(32)).astype(np.float64))[1]
     left = np.repeat(ends, counts) - np.arange(n)
     choice = np.full(n, ESCAPE, np.uint8)
     most, span = width, 1
@@ -50,7 +49,10 @@ def pack(ids: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             wider = most.copy()
             wider[: max(0, n - step)] = np.maximum(most[: max(0, n - step)], most[step:])
             most, span = wider, span + step
-        choice[(most <= BITS[k]) & (left >= c)] = k
+        fits = most <= BITS[k]
+        if not fits.any():  # then no longer run fits fewer bits
+            break
+        choice[fits & (left >= c)] = k
     taken = np.r_[COUNTS, 0, 1].astype(np.int64)[choice]
     follow = (np.arange(n) + taken).tolist()
     starts, at = [], 0
@@ -103,64 +105,148 @@ def unpack(words: np.ndarray) -> np.ndarray:
     return out
 
 
-_TOKENIZERS: dict[str, tuple] = {}
+_TOKENIZERS: dict[str, Encoder] = {}
+_BLANK = np.zeros(256, bool)
+_BLANK[[10, 32]] = True
 #: One sign between a letter and a blank is a token of its own for every tokenizer of this kind: cut off, words are rarer.
-_SIGN = re.compile(r"(?<=[a-zA-Z])([,.;:!?])(?=[ \n])")
+_SIGN = np.zeros(256, bool)
+_SIGN[[*b",.;:!?"]] = True
+_LETTER = np.zeros(256, bool)
+_LETTER[[*range(65, 91), *range(97, 123)]] = True
 
 
-class Known(dict):
-    """The ids of pieces, in two generations: when the young one is full it becomes the old one, and pieces that are asked
-    for again move back, so frequent ones stay."""
+def pieces_of(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start and end of each piece (a run between blanks or line feeds, its last sign apart) and its text's number."""
+    a, b, text = words_of(data, ends, _BLANK)
+    cut = np.flatnonzero((b - a > 1) & _SIGN[data[b - 1]] & _LETTER[data[b - 2]]) if len(a) else np.zeros(0, np.int64)
+    if len(cut):
+        at = np.repeat(np.arange(len(a)), np.bincount(cut, minlength=len(a)) + 1)
+        sign = np.r_[False, at[1:] == at[:-1]]
+        a, b, text = a[at], b[at], text[at]
+        a[sign] = b[sign] - 1
+        b[np.flatnonzero(sign) - 1] -= 1
+    return a, b, text
 
-    def __init__(self, most: int = CACHE):
-        super().__init__({"": b""})
-        self.most, self.old = most, {}
 
-    def __missing__(self, piece: str) -> bytes:
-        code = self[piece] = self.old[piece]
-        return code
+class Known:
+    """Numbers of pieces by two 64-bit hashes, in an open table of fixed size; when `most` are known, those not asked for
+    since the last time go."""
 
-    def renew(self) -> None:
-        if len(self) > self.most:
-            self.old = dict(self)
+    def __init__(self, most: int = CACHE):
+        self.most, self.slots = most, 1 << (2 * most - 1).bit_length()
+        self.clear()
+
+    def clear(self) -> None:
+        self.table = np.full(self.slots, -1, np.int32)
+        self.one, self.two = np.zeros(self.most, np.uint64), np.zeros(self.most, np.uint64)
+        self.begin, self.count = np.zeros(self.most, np.int64), np.zeros(self.most, np.int64)
+        self.used = np.zeros(self.most, bool)
+        self.ids, self.size, self.n = np.zeros(1 << 16, np.uint32), 0, 0
+
+    def find(self, one: np.ndarray, two: np.ndarray) -> np.ndarray:
+        """The piece's number, or -1."""
+        out = np.full(len(one), -1, np.int64)
+        todo, slot = np.arange(len(one)), (one & np.uint64(self.slots - 1)).astype(np.int64)
+        while len(todo):
+            at = self.table[slot]
+            there = at >= 0
+            todo, slot, at = todo[there], slot[there], at[there]
+            same = (self.one[at] == one[todo]) & (self.two[at] == two[todo])
+            out[todo[same]] = at[same]
+            todo, slot = todo[~same], (slot[~same] + 1) & (self.slots - 1)
+        return out
+
+    def room(self, more: int) -> None:
+        if self.n + more > self.most:
+            keep = np.flatnonzero(self.used[: self.n])
+            old = (self.one[keep], self.two[keep], self.count[keep], self.gather(keep))
             self.clear()
-            self[""] = b""
-
-
-def _encoder(path: str):
-    """Encodes texts; ids of the runs between blanks are remembered in a bounded table, as this kind of tokenizer drops
-    white space and never joins over it."""
-    if path not in _TOKENIZERS:
+            if 2 * len(keep) <= self.most and len(keep) + more <= self.most:
+                self.add(*old)
+
+    def add(self, one: np.ndarray, two: np.ndarray, count: np.ndarray, ids: np.ndarray) -> None:
+        """Distinct pieces that are not known yet, with their ids one after another."""
+        a, n = self.n, len(one)
+        self.one[a : a + n], self.two[a : a + n], self.count[a : a + n] = one, two, count
+        self.begin[a : a + n] = self.size + np.cumsum(count) - count
+        if self.size + len(ids) > len(self.ids):
+            self.ids = np.r_[self.ids, np.zeros(max(len(self.ids), len(ids)), np.uint32)]
+        self.ids[self.size : self.size + len(ids)] = ids
+        self.size, self.n = self.size + len(ids), a + n
+        todo, slot = np.arange(a, a + n), (one & np.uint64(self.slots - 1)).astype(np.int64)
+        while len(todo):
+            free = self.table[slot] < 0
+            self.table[slot[free]] = todo[free]
+            lost = self.table[slot] != todo
+            todo, slot = todo[lost], (slot[lost] + 1) & (self.slots - 1)
+
+    def gather(self, numbers: np.ndarray) -> np.ndarray:
+        """The ids of pieces, one after another."""
+        count = self.count[numbers]
+        ends = np.cumsum(count)
+        return self.ids[np.repeat(self.begin[numbers] - (ends - count), count) + np.arange(int(ends[-1]) if len(ends) else 0)]
+
+
+class Encoder:
+    """Encodes texts with a tokenizer that drops white space and never joins over it. Pieces between blanks go through it once,
+    while they are remembered."""
+
+    def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        loaded = Tokenizer.from_file(path)
-        final = np.zeros(loaded.get_vocab_size() + 1, bool)
-        final[[i for t, i in loaded.get_vocab().items() if t.endswith("</w>") and i < len(final)]] = True
-        _TOKENIZERS[path] = (loaded, Known(), final)
-    tokenizer, known, final = _TOKENIZERS[path]
+        self.tokenizer, self.known = Tokenizer.from_file(path), Known()
+        self.final = np.zeros(self.tokenizer.get_vocab_size() + 1, bool)
+        self.final[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith("</w>") and i < len(self.final)]] = True
 
-    def learn(part: list[str]) -> None:
+    def learn(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The pieces' places in the order in which they come out, the number of ids of each, and the ids."""
         # words of letters go through as one text: each ends with one token that ends a word, unless one is several tokens
         # to the tokenizer, which the count shows
-        words = [p for p in part if p.isalpha()]
-        ids = np.array(tokenizer.encode(" ".join(words), add_special_tokens=False).ids, "<u4")
-        ends = np.flatnonzero(final[np.minimum(ids, len(final) - 1)]) + 1
-        if len(ends) == len(words) and (not len(words) or ends[-1] == len(ids)):
-            code, ends = ids.tobytes(), (4 * ends).tolist()
-            known.update(zip(words, (code[a:b] for a, b in zip([0, *ends], ends))))
-            part = [p for p in part if not p.isalpha()]
-        for p, e in zip(part, tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-            known[p] = np.array(e.ids, "<u4").tobytes()
-
-    def encode(texts: list[str]) -> list[bytes]:
-        pieces = [_SIGN.sub(r" \1", t).replace("\n", " ").split(" ") for t in texts]
-        known.renew()
-        new = list({p for ps in pieces for p in set(ps) if p not in known and p not in known.old})
-        for i in range(0, len(new), 20_000):
-            learn(new[i : i + 20_000])
-        return [b"".join(map(known.__getitem__, ps)) for ps in pieces]
-
-    return encode
+        letters = np.fromiter((p.isalpha() for p in pieces), bool, len(pieces))
+        words, rest = np.flatnonzero(letters), np.flatnonzero(~letters)
+        ids = np.array(self.tokenizer.encode_batch_fast([" ".join([pieces[i] for i in words])], add_special_tokens=False)[0].ids, np.uint32)
+        ends = np.flatnonzero(self.final[np.minimum(ids, len(self.final) - 1)]) + 1
+        if len(ends) != len(words) or len(words) and ends[-1] != len(ids):
+            words, rest, ids, ends = words[:0], np.arange(len(pieces)), ids[:0], ends[:0]
+        codes = [e.ids for e in self.tokenizer.encode_batch_fast([pieces[i] for i in rest], add_special_tokens=False)]
+        counts = np.r_[np.diff(np.r_[0, ends]), np.fromiter(map(len, codes), np.int64, len(codes))].astype(np.int64)
+        return np.r_[words, rest], counts, np.r_[ids, np.fromiter(chain.from_iterable(codes), np.uint32)].astype(np.uint32)
+
+    def numbers(self, data: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """The numbers of at most STEP pieces; those not met before are learned."""
+        known, (one, two) = self.known, word_hashes(data, a, b, 2)
+        while True:
+            number = known.find(one, two)
+            new = np.flatnonzero(number < 0)
+            if not len(new):
+                known.used[number] = True
+                return number
+            new = new[np.unique(one[new] ^ mix(two[new], 3), return_index=True)[1]]
+            if known.n + len(new) > known.most:
+                known.used[number[number >= 0]] = True
+                known.room(len(new))
+                continue  # all may have gone
+            for i in range(0, len(new), 20_000):
+                part = new[i : i + 20_000]
+                text = [data[x:y].tobytes().decode() for x, y in zip(a[part].tolist(), b[part].tolist())]
+                order, counts, ids = self.learn(text)
+                known.add(one[part[order]], two[part[order]], counts, ids)
+
+    def __call__(self, data: np.ndarray, ends: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the texts that stand one after another in data, `end_id` after each, and each text's number of ids."""
+        a, b, text = pieces_of(data, ends)
+        ids, counts = [np.zeros(0, np.uint32)], np.zeros(len(ends), np.int64)
+        for i in range(0, len(a), STEP):
+            number = self.numbers(data, a[i : i + STEP], b[i : i + STEP])
+            ids.append(self.known.gather(number))
+            counts += np.bincount(text[i : i + STEP], self.known.count[number], len(ends)).astype(np.int64)
+        return np.insert(np.concatenate(ids), np.cumsum(counts), np.uint32(end_id)), counts + 1
+
+
+def _encoder(path: str) -> Encoder:
+    if path not in _TOKENIZERS:
+        _TOKENIZERS[path] = Encoder(path)
+    return _TOKENIZERS[path]
 
 
 BLOCKS = "shard int, block int, start long, n_docs int, n_ids long, doc_ids binary, counts binary, offsets binary, words binary"
@@ -180,27 +266,25 @@ def write_token_ids(docs: DataFrame, tokenizer_path: str, end_id: int, shards: i
         shard, run = TaskContext.get().partitionId(), _encoder(tokenizer_path)
         add, take = arrow_rows(_BLOCKS)
         block = start = held = 0
-        ids: list[int] = []
-        codes: list[bytes] = []
-        end = np.array([end_id], "<u4").tobytes()
+        docs_, counts_, ids_ = [], [], []
 
         def close():
             nonlocal block, start, held
-            if ids:
-                flat = np.frombuffer(b"".join(codes), "<u4")
-                counts = np.array([len(c) // 4 for c in codes], np.int64)
+            if docs_:
+                flat, counts = np.concatenate(ids_), np.concatenate(counts_)
                 words, offsets = pack(flat, np.cumsum(counts))
-                add(shard, block, start, len(ids), len(flat), np.array(ids, "<i8").tobytes(), counts.astype("<u4").tobytes(), offsets.astype("<u4").tobytes(), words.astype("<u8").tobytes())
+                add(shard, block, start, len(counts), len(flat), np.concatenate(docs_).astype("<i8").tobytes(), counts.astype("<u4").tobytes(), offsets.astype("<u4").tobytes(), words.astype("<u8").tobytes())
                 block, start, held = block + 1, start + len(flat), 0
-                ids.clear()
-                codes.clear()
+                docs_.clear(), counts_.clear(), ids_.clear()
 
         for batch in batches:
-            for part in slices(batch):
-                for doc_id, code in zip(part.column(0).to_pylist(), run([t or "" for t in part.column(1).to_pylist()])):
-                    ids.append(doc_id)
-                    codes.append(code + end)
-                    held += len(code) // 4 + 1
+            for part in slices(batch, 1 << 20):
+                flat, counts = run(*texts_as_bytes(part.column(1)), end_id)
+                doc, ends, a = part.column(0).to_numpy(), np.r_[0, np.cumsum(counts)], 0
+                while a < len(doc):  # a block ends with the document that fills it
+                    b = min(len(doc), int(np.searchsorted(ends, ends[a] + BLOCK_IDS - held)))
+                    docs_.append(doc[a:b]), counts_.append(counts[a:b]), ids_.append(flat[ends[a] : ends[b]])
+                    held, a = held + int(ends[b] - ends[a]), b
                     if held >= BLOCK_IDS:
                         close()
                 yield from take()

@@ -306,3 +306,39 @@ def test_fingerprints(spark, docs, rows):
 @pytest.mark.parametrize("run", [lambda d: minhash.near_duplicates(d), lambda d: suffix_dedup.suffix_dedup(d), lambda d: recompress.substring_dedup(d), lambda d: packing.pack(d)])
 def test_empty_tables(spark, docs, run):
     assert run(docs.where("false")).count() == 0
+
+
+def test_pieces_are_encoded_like_whole_texts():
+    import public_tokenizers
+
+    rng = np.random.default_rng(7)
+    signs = [*"abcXYZéÉ,.;:!? \n\t'sre019<|>»—½İßﬁ́中🙂\r\x0b\x85", "<|endoftext|>", "'re", "The ", " a"]
+    texts = ["", *("".join(rng.choice(signs, rng.integers(0, 60))) for _ in range(300))]
+    data = [t.encode() for t in texts]
+    encoder = token_ids.Encoder(public_tokenizers.path("word_bpe_49k.json"))
+    for most in (1 << 21, 1 << 16):
+        encoder.known = token_ids.Known(most)
+        ids, counts = encoder(np.frombuffer(b"".join(data), np.uint8), np.cumsum([len(d) for d in data]), 2)
+        want = [[*encoder.tokenizer.encode(t, add_special_tokens=False).ids, 2] for t in texts]
+        assert ids.tolist() == sum(want, []) and counts.tolist() == [len(w) for w in want]
+
+
+def test_known_pieces_make_room():
+    rng = np.random.default_rng(8)
+    known, seen = token_ids.Known(100), {}
+    for _ in range(60):
+        keys = np.unique(rng.integers(0, 300, 40)).astype(np.uint64) << np.uint64(20)  # all in few slots
+        at = known.find(keys, keys)
+        for k, i in zip(keys[at >= 0].tolist(), at[at >= 0].tolist()):
+            assert known.gather(np.array([i])).tolist() == seen[k]
+        known.used[at[at >= 0]] = True
+        if known.n + (at < 0).sum() > known.most:
+            known.room(int((at < 0).sum()))
+            at = known.find(keys, keys)
+        new = keys[at < 0]
+        count = rng.integers(0, 4, len(new))
+        ids = rng.integers(0, 9, int(count.sum())).astype(np.uint32)
+        known.add(new, new, count, ids)
+        seen |= {k: x.tolist() for k, x in zip(new.tolist(), np.split(ids, np.cumsum(count)[:-1]))}
+        at = known.find(keys, keys)
+        assert (at >= 0).all() and known.gather(at).tolist() == sum((seen[k] for k in keys.tolist()), [])
