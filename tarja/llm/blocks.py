@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from tarja.llm.common import arrow_rows, groups, partitions, texts_as_bytes, written
 
 BLOCK_BYTES = 3 << 20
-_BLOCK = pa.schema([("block", pa.int64()), ("docs", pa.binary()), ("ends", pa.binary()), ("data", pa.binary())])
+_BLOCK = pa.schema([("block", pa.int64()), ("docs", pa.binary()), ("ends", pa.binary()), ("data", pa.binary()), ("rest", pa.binary())])
 _ASK = pa.schema([("bucket", pa.int32()), ("block", pa.int64()), ("payload", pa.binary())])
 _ANSWER = pa.schema([("block", pa.int64()), ("bucket", pa.int32()), ("phase", pa.int32()), ("payload", pa.binary())])
 
@@ -32,43 +32,61 @@ def expand(data: bytes) -> bytes:
 
 
 class Block:
-    def __init__(self, number: int, docs: bytes, ends: bytes, data: bytes):
+    """rest: the rows' other columns, for the last step only."""
+
+    def __init__(self, number: int, docs: bytes, ends: bytes, data: bytes, rest: bytes | None = None):
         self.number, self.docs, self.ends = number, np.frombuffer(docs, np.int64), np.frombuffer(ends, np.int64)
         self.data = np.frombuffer(expand(data), np.uint8)
+        self.rest = list(zip(*pa.ipc.open_stream(expand(rest)).read_all().to_pydict().values())) if rest else [()] * len(self.docs)
+
+
+def _stream(parts: list[pa.RecordBatch]) -> bytes | None:
+    if not parts or not parts[0].num_columns:
+        return None
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, parts[0].schema) as out:
+        for p in parts:
+            out.write_batch(p)
+    return press(sink.getvalue().to_pybytes())
 
 
 def blocks(docs: DataFrame) -> DataFrame:
-    """(doc_id, text) as a written table of blocks, which keeps their numbers whatever is run again."""
+    """(doc_id, text, ...) as a written table of blocks, which keeps their numbers whatever is run again."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        number, ids, texts, size = TaskContext.get().partitionId() << 32, [], [], 0
+        number, ids, texts, size, rest = TaskContext.get().partitionId() << 32, [], [], 0, []
         add, take = arrow_rows(_BLOCK)
 
         def close():
             nonlocal number, size
             if ids:
-                add(number, np.array(ids, np.int64).tobytes(), np.cumsum([len(t) for t in texts], dtype=np.int64).tobytes(), press(b"".join(texts)))
+                add(number, np.array(ids, np.int64).tobytes(), np.cumsum([len(t) for t in texts], dtype=np.int64).tobytes(), press(b"".join(texts)), _stream(rest))
                 number, size = number + 1, 0
                 ids.clear()
                 texts.clear()
+                rest.clear()
 
         for batch in batches:
             data, ends = texts_as_bytes(batch.column(1))
-            a = 0
-            for i, b in zip(batch.column(0).to_pylist(), ends.tolist()):
+            other = batch.select(range(2, batch.num_columns))
+            a = since = 0
+            for k, (i, b) in enumerate(zip(batch.column(0).to_pylist(), ends.tolist())):
                 if size + b - a > BLOCK_BYTES:
+                    rest.append(other.slice(since, k - since))
+                    since = k
                     close()
                 ids.append(i)
                 texts.append(data[a:b].tobytes())
                 size += b - a
                 a = b
+            rest.append(other.slice(since))
             yield from take()
         close()
         yield from take(True)
 
-    return written(docs.mapInArrow(run, "block long, docs binary, ends binary, data binary"), "blocks")
+    return written(docs.mapInArrow(run, "block long, docs binary, ends binary, data binary, rest binary"), "blocks")
 
 
 def bucket_bits(df: DataFrame) -> int:
@@ -76,14 +94,14 @@ def bucket_bits(df: DataFrame) -> int:
     return max(4, (8 * partitions(df.sparkSession) - 1).bit_length())
 
 
-def met(table: DataFrame, answers: DataFrame | None, work: Callable, out: str, schema: pa.Schema) -> DataFrame:
-    """work(block, {phase: {bucket: payload}}) -> rows of `schema`, for each block with the answers to it."""
+def met(table: DataFrame, answers: DataFrame | None, work: Callable, out: str, schema: pa.Schema, rest: bool = False) -> DataFrame:
+    """work(block, {phase: {bucket: payload}}) -> rows of `schema`, for each block with the answers to it and, if `rest`, its rows' other columns."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         add, take = arrow_rows(schema)
         for _, parts in groups(batches, "block"):
             rows = [r for p in parts for r in p.to_pylist()]
-            block = Block(rows[0]["block"], rows[0]["docs"], rows[0]["ends"], rows[0]["data"])
+            block = Block(rows[0]["block"], rows[0]["docs"], rows[0]["ends"], rows[0]["data"], rows[0]["rest"])
             told: dict[int, dict[int, bytes]] = {}
             for r in rows[1:]:
                 told.setdefault(r["phase"], {})[r["bucket"]] = r["payload"]
@@ -93,9 +111,9 @@ def met(table: DataFrame, answers: DataFrame | None, work: Callable, out: str, s
         yield from take(True)
 
     none = F.lit(None).cast("binary")
-    rows = table.select("block", F.lit(-1).alias("bucket"), F.lit(-1).alias("phase"), none.alias("payload"), "docs", "ends", "data")
+    rows = table.select("block", F.lit(-1).alias("bucket"), F.lit(-1).alias("phase"), none.alias("payload"), "docs", "ends", "data", *(["rest"] if rest else [none.alias("rest")]))
     if answers is not None:
-        rows = rows.unionAll(answers.select("block", "bucket", "phase", "payload", none.alias("docs"), none.alias("ends"), none.alias("data")))
+        rows = rows.unionAll(answers.select("block", "bucket", "phase", "payload", none.alias("docs"), none.alias("ends"), none.alias("data"), none.alias("rest")))
         rows = rows.repartition("block").sortWithinPartitions("block", "phase", "bucket")
     return rows.mapInArrow(run, out)
 

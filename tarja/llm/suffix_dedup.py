@@ -8,7 +8,7 @@ a common prefix of `length` bytes, and answers which windows also start in a sma
 partition count, and the sort's queues spill to a scratch file, so a bucket may be larger than its memory share.
 
 Strings are judged on the input and never cross documents. Null text counts as empty; only strictly smaller ids remove, so
-rows with equal ids leave each other alone; a null id acts as the smallest; empty table: no rows. Extra columns are not read.
+rows with equal ids leave each other alone; a null id acts as the smallest; empty table: no rows. Other columns go along unread.
 """
 
 from __future__ import annotations
@@ -18,6 +18,7 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from tarja.llm.blocks import Block, ask, blocks, bucket_bits, expand, key_payloads, met, press, shared_answer, shared_keys
 from tarja.llm.common import documents, mix, null_id, pair, table
@@ -206,12 +207,13 @@ def removed_bytes(docs: DataFrame, length: int, out: str, schema: pa.Schema, fin
         np.add.at(edge, start + length, -1)
         yield from finish(block, np.cumsum(edge[:-1]) > 0)
 
-    return met(held, answers, cut, out, schema)
+    return met(held, answers, cut, out, schema, True)
 
 
 def suffix_dedup(docs: DataFrame, length: int = 50) -> DataFrame:
-    """doc_id, text (what is left; characters cut in part go whole), n_removed (bytes) for (doc_id, text)."""
-    schema = pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("n_removed", pa.int64())])
+    """doc_id, text (what is left; characters cut in part go whole), n_removed (bytes) for (doc_id, text, ...), and the other columns."""
+    other = docs.select(*docs.columns[2:]).schema
+    schema = pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("n_removed", pa.int64()), *to_arrow_schema(other)])
 
     def finish(block, gone):
         lead = (block.data & 0xC0) != 0x80
@@ -220,12 +222,13 @@ def suffix_dedup(docs: DataFrame, length: int = 50) -> DataFrame:
         bad[head[gone]] = True
         gone = bad[head] if len(gone) else gone
         a = 0
-        for doc, b in zip(block.docs.tolist(), block.ends.tolist()):
+        for doc, b, rest in zip(block.docs.tolist(), block.ends.tolist(), block.rest):
             left = ~gone[a:b]
-            yield doc, block.data[a:b][left].tobytes().decode(errors="replace"), int(b - a - left.sum())
+            yield doc, block.data[a:b][left].tobytes().decode(errors="replace"), int(b - a - left.sum()), *rest
             a = b
 
-    return removed_bytes(docs, length, "doc_id long, text string, n_removed long", schema, finish)
+    shape = ", ".join(["doc_id long, text string, n_removed long", *[f"`{f.name}` {f.dataType.simpleString()}" for f in other]])
+    return removed_bytes(docs, length, shape, schema, finish)
 
 
 def op4_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
