@@ -40,11 +40,10 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages of 50 bytes and more that also stand in a row before, of a smaller doc_id or in the order of `keyed`, are cut out."""
-    rows = keyed(docs)
-    left = suffix_dedup.suffix_dedup(documents(rows, "own")).select(F.col("doc_id").alias("own"), F.col("text").alias("left"))
-    rest = rows.select("own", "doc_id", "lang", "source", F.col("text").isNull().alias("none"))
-    text = F.when(~F.col("none"), F.col("left"))
-    return rest.join(left.hint("shuffle_merge"), "own").select("doc_id", text.alias("text"), "lang", "source", F.length(text).cast("long").alias("n_chars"))
+    rows = keyed(docs).select(F.col("own").alias("doc_id"), "text", F.col("doc_id").alias("id"), "lang", "source", F.col("text").isNull().alias("none"))
+    left = suffix_dedup.suffix_dedup(rows)
+    text = F.when(~F.col("none"), F.col("text"))
+    return left.select(F.col("id").alias("doc_id"), text.alias("text"), "lang", "source", F.length(text).cast("long").alias("n_chars"))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
