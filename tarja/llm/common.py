@@ -52,6 +52,19 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class Held(list):
+    """Tables that are used more than once within an operator and small beside its input: kept by the executors, made again
+    from the last written table where one is lost, and released at the end."""
+
+    def __call__(self, df: DataFrame) -> DataFrame:
+        self.append(df.persist())
+        return df
+
+    def release(self) -> None:
+        while self:
+            self.pop().unpersist()
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -49,10 +49,17 @@ def _in_one_task(edges: DataFrame) -> DataFrame:
 def components(edges: DataFrame, rounds: int = 60, few: int = FEW) -> DataFrame:
     """(node, component): the smallest node reachable, for every node of the edges (a, b), both long.
 
-    Rounds grow with the logarithm of the longest path. Minima are pre-aggregated; the joins on a star's centre are plain
+    A written table. Rounds grow with the logarithm of the longest path. Minima are pre-aggregated; the joins on a star's centre are plain
     equi-joins, whose hot keys adaptive execution splits.
     """
-    now = written(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
+    first = now = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct().persist()
+    try:
+        return written(_joined(now, rounds, few), "components")
+    finally:
+        first.unpersist()
+
+
+def _joined(now: DataFrame, rounds: int, few: int) -> DataFrame:
     mark = None
     for _ in range(rounds):
         new = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarja.llm.common import _LOWER, arrow_rows, documents, groups, mix, null_id, pair, slices, table, texts_as_bytes, word_hashes, words_of, written
+from tarja.llm.common import _LOWER, Held, arrow_rows, documents, groups, mix, null_id, pair, slices, table, texts_as_bytes, word_hashes, words_of, written
 from tarja.llm.graph import components
 
 TREES, DEPTH, SHALLOW, ORDER, REGION = 12, 6, 3, 16, 64
@@ -299,16 +299,16 @@ def _across(pairs: DataFrame, part: DataFrame) -> DataFrame:
     return both.where("ca <> cb").select("a", "b", "near", F.greatest("ca", "cb").alias("ca"), F.least("ca", "cb").alias("cb"))
 
 
-def _crowded(crowds: DataFrame, part: DataFrame) -> DataFrame:
+def _crowded(crowds: DataFrame, part: DataFrame, held: Held) -> DataFrame:
     """(node, component) of the members of crowds (group, node) that are still in several components."""
     own = crowds.join(part.hint("shuffle_merge"), "node", "left").withColumn("component", F.coalesce("component", "node"))
-    own = written(own, "crowds")
+    own = held(own)
     several = own.groupBy("group").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi")
-    several = written(several.select("group"), "several")  # so that the join stands alone and a large crowd can be split
+    several = held(several.select("group"))  # so that the join stands alone and a large crowd can be split
     return own.join(several.hint("shuffle_merge"), "group", "left_semi").select("node", "component").distinct()
 
 
-def _prefix_pairs(sets: DataFrame, percent: int) -> DataFrame:
+def _prefix_pairs(sets: DataFrame, percent: int, held: Held) -> DataFrame:
     """All pairs (a > b) of nodes in different components that can be alike. sets: node, component, items (sorted uint64).
 
     Items are ordered by the number of sets that hold them, those of one component only first. Two alike sets share an item of
@@ -327,15 +327,15 @@ def _prefix_pairs(sets: DataFrame, percent: int) -> DataFrame:
             marks = np.packbits(bits, axis=1).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([len(x) for x in items], pa.int64()), pa.array(list(marks), pa.list_(pa.int64())), pa.array([x.view(np.int64) for x in items], pa.list_(pa.int64()))], schema=out)
 
-    whole = written(sets.select("node", "component", "items").mapInArrow(run, "node long, component long, n long, bits array<long>, items array<long>"), "crowd")
+    whole = held(sets.select("node", "component", "items").mapInArrow(run, "node long, component long, n long, bits array<long>, items array<long>"))
     items = whole.select("node", "component", F.explode("items").alias("item"))
-    held = items.groupBy("item").agg(F.count("*").alias("f"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("item", "f")
-    both = items.join(held.hint("shuffle_merge"), "item").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("f", "item"))).alias("s"))
+    shared = items.groupBy("item").agg(F.count("*").alias("f"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("item", "f")
+    both = items.join(shared.hint("shuffle_merge"), "item").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("f", "item"))).alias("s"))
     both = both.join(whole.select("node", "component", "n", "bits").hint("shuffle_merge"), "node")
     alone = F.col("n") - F.size("s")
     long, short = F.expr(f"n - ({percent} * n + 99) div 100 + 1"), F.expr(f"n - (2 * {percent} * n + {99 + percent}) div {100 + percent} + 1")
     both = both.select("node", "component", "n", "bits", F.size("s").alias("size"), F.slice("s", F.lit(1), F.greatest(F.lit(0), long - alone).cast("int")).alias("s"), (short - alone).alias("short"))
-    posts = written(both.select("node", "component", "n", "bits", "size", "short", F.posexplode("s").alias("at", "x")).select("node", "component", "n", *[F.col("bits")[k].alias(f"b{k}") for k in range(MARKS)], "size", "at", "x.item", (F.col("at") < F.col("short")).alias("short")), "posts")
+    posts = held(both.select("node", "component", "n", "bits", "size", "short", F.posexplode("s").alias("at", "x")).select("node", "component", "n", *[F.col("bits")[k].alias(f"b{k}") for k in range(MARKS)], "size", "at", "x.item", (F.col("at") < F.col("short")).alias("short")))
     one = posts.where("short").select("item", F.col("node").alias("k"), F.col("component").alias("c"), F.col("n").alias("m"), F.col("size").alias("z"), F.col("at").alias("p"), *[F.col(f"b{k}").alias(f"c{k}") for k in range(MARKS)])
     most, least = "least(at, p) + least(size - at, z - p)", f"({percent} * (n + m) + {99 + percent}) div {100 + percent}"
     apart = " + ".join(f"bit_count(b{k} ^ c{k})" for k in range(MARKS))
@@ -345,6 +345,7 @@ def _prefix_pairs(sets: DataFrame, percent: int) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for (doc_id, text); one row per row of docs."""
+    held = Held()
     signed = written(_signed(docs, words), "signed")
     full = signed.where("n_shingles > 0")
     heads = full.groupBy("key").agg(F.min("doc_id").alias("rep"), *[F.first(c).alias(c) for c in ("n_shingles", "sig", "sketch")])  # a key has one set
@@ -357,43 +358,44 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     sets = _sets(docs, heads.select("node", "key", "rep").join(paired.hint("shuffle_merge"), "node", "left_semi"), words)
     either = pairs.unionAll(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "near"))
     best = either.groupBy("a").agg(F.max_by(F.struct("b", "near"), F.struct("near", "b")).alias("b"))
-    tried = written(best.select(F.greatest("a", "b.b").alias("a"), F.least("a", "b.b").alias("b"), F.col("b.near").alias("near")).distinct(), "tried")
-    confirmed = written(_confirmed(tried, sets, percent), "confirmed")
+    tried = held(best.select(F.greatest("a", "b.b").alias("a"), F.least("a", "b.b").alias("b"), F.col("b.near").alias("near")).distinct())
+    confirmed = held(_confirmed(tried, sets, percent))
     links = confirmed.select("a", "b")
     # rows of one id are one document, whatever their texts
     same = full.groupBy("doc_id").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).where("lo <> hi")
-    same = written(full.select("doc_id", "key").join(same.select("doc_id", "lo").hint("shuffle_merge"), "doc_id").select("key", "lo").distinct(), "same")
+    same = held(full.select("doc_id", "key").join(same.select("doc_id", "lo").hint("shuffle_merge"), "doc_id").select("key", "lo").distinct())
     if not same.isEmpty():
         one, two = heads.select("key", F.col("node").alias("a")), heads.select(F.col("key").alias("lo"), F.col("node").alias("b"))
         links = links.unionAll(same.join(one.hint("shuffle_merge"), "key").join(two.hint("shuffle_merge"), "lo").select("a", "b"))
-    part = written(components(links), "parts")
+    part = components(links)
     # of the pairs that would still join two components, first the best of each two components, then all that are left
     rest = pairs.join(tried.select("a", "b").hint("shuffle_merge"), ["a", "b"], "left_anti")
-    rest = written(_across(rest, part), "across")
+    rest = held(_across(rest, part))
     best = rest.groupBy("ca", "cb").agg(F.max_by(F.struct("a", "b", "near"), F.struct("near", "a", "b")).alias("p")).select("p.*")
-    best = written(best, "tried")
-    second = written(_confirmed(best, sets, percent), "confirmed")
-    links = written(links.unionAll(second.select("a", "b")), "links")
-    part = written(components(links), "parts")
-    last = written(_across(rest.select("a", "b", "near").join(best.select("a", "b").hint("shuffle_merge"), ["a", "b"], "left_anti"), part).select("a", "b", "near"), "tried")
-    third = written(_confirmed(last, sets, percent), "confirmed")
-    links = written(links.unionAll(third.select("a", "b")), "links")
-    part = written(components(links), "parts")
+    best = held(best)
+    second = held(_confirmed(best, sets, percent))
+    links = held(links.unionAll(second.select("a", "b")))
+    part = components(links)
+    last = held(_across(rest.select("a", "b", "near").join(best.select("a", "b").hint("shuffle_merge"), ["a", "b"], "left_anti"), part).select("a", "b", "near"))
+    third = held(_confirmed(last, sets, percent))
+    links = held(links.unionAll(third.select("a", "b")))
+    part = components(links)
     crowds = regions_.where("crowd").select("group", "node")
     # a link of which a sketch was sure stood for others of its group: if the sets refute it, the group is searched exactly
     refuted = tried.unionAll(best).unionAll(last).where("near >= 2").select("a", "b").exceptAll(confirmed.unionAll(second).unionAll(third).where("near >= 2").select("a", "b"))
-    refuted = written(refuted.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "refuted")
+    refuted = held(refuted.select(F.explode(F.array("a", "b")).alias("node")).distinct())
     if not refuted.isEmpty():
         of = found.join(refuted.hint("shuffle_merge"), "node", "left_semi").select("group").distinct()
         crowds = crowds.unionAll(found.join(of.hint("shuffle_merge"), "group", "left_semi"))
-    crowded = written(_crowded(crowds, part), "crowded")
+    crowded = held(_crowded(crowds, part, held))
     if not crowded.isEmpty():
         sets = _sets(docs, heads.select("node", "key", "rep").join(crowded.select("node").hint("shuffle_merge"), "node", "left_semi"), words)
-        links = links.unionAll(_confirmed(_prefix_pairs(sets.join(crowded.hint("shuffle_merge"), "node"), percent), sets, percent))
-        part = written(components(links), "parts")
+        links = links.unionAll(_confirmed(_prefix_pairs(sets.join(crowded.hint("shuffle_merge"), "node"), percent, held), sets, percent))
+        part = components(links)
     whole = heads.select("node", "key", "rep").join(part.hint("shuffle_merge"), "node", "left").withColumn("component", F.coalesce("component", "node"))
     smallest = whole.groupBy("component").agg(F.min("rep").alias("component_id"))
-    classes = written(whole.select("key", "component").join(smallest.hint("shuffle_merge"), "component").select("key", "component_id"), "classes")
+    classes = whole.select("key", "component").join(smallest.hint("shuffle_merge"), "component").select("key", "component_id")
+    held.release()
     done = full.select("doc_id", "n_shingles", "key").join(classes.hint("shuffle_merge"), "key").select("doc_id", "n_shingles", "component_id")
     done = done.unionAll(signed.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
     return done.withColumn("kept", F.col("doc_id") == F.col("component_id"))
