@@ -8,7 +8,7 @@ a larger one the depth adapts: the parts that share one value more are regions i
 meets its neighbours in the order, whose common prefixes are the longest, in overlapping blocks of REGION. What that leaves in several
 components is joined exactly by prefixes of rare shingles (`_prefix_pairs`), so that no region makes all its pairs and none loses a link. Members of a group are compared
 by sketches of their sets, exact up to `SKETCH` shingles and within `SIGMAS` deviations beyond, and tied by a forest. Links are confirmed on the
-full sets: first each node's best candidate, then the best between any two components, then all that still join two; if the sets refute a link of
+full sets: first each node's best candidate, then all that still join two components; if the sets refute a link of
 which a sketch was sure, its groups are searched exactly too. A pair at the threshold
 is missed by all trees with a chance of 1e-5 at 0.85 (2e-4 at 0.8).
 
@@ -293,10 +293,10 @@ def _sets(docs: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
 
 
 def _across(pairs: DataFrame, part: DataFrame) -> DataFrame:
-    """The pairs whose two sides are in different components so far, with these (ca > cb)."""
+    """The pairs whose two sides are in different components so far."""
     one, two = part.select(F.col("node").alias("a"), F.col("component").alias("ca")), part.select(F.col("node").alias("b"), F.col("component").alias("cb"))
-    both = pairs.join(one.hint("shuffle_merge"), "a", "left").join(two.hint("shuffle_merge"), "b", "left").withColumns({"ca": F.coalesce("ca", "a"), "cb": F.coalesce("cb", "b")})
-    return both.where("ca <> cb").select("a", "b", "near", F.greatest("ca", "cb").alias("ca"), F.least("ca", "cb").alias("cb"))
+    both = pairs.join(one.hint("shuffle_merge"), "a", "left").join(two.hint("shuffle_merge"), "b", "left")
+    return both.where("coalesce(ca, a) <> coalesce(cb, b)").select("a", "b", "near")
 
 
 def _crowded(crowds: DataFrame, part: DataFrame, held: Held) -> DataFrame:
@@ -358,9 +358,9 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     sets = _sets(docs, heads.select("node", "key", "rep").join(paired.hint("shuffle_merge"), "node", "left_semi"), words)
     either = pairs.unionAll(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "near"))
     best = either.groupBy("a").agg(F.max_by(F.struct("b", "near"), F.struct("near", "b")).alias("b"))
-    tried = held(best.select(F.greatest("a", "b.b").alias("a"), F.least("a", "b.b").alias("b"), F.col("b.near").alias("near")).distinct())
-    confirmed = held(_confirmed(tried, sets, percent))
-    links = confirmed.select("a", "b")
+    tried = written(best.select(F.greatest("a", "b.b").alias("a"), F.least("a", "b.b").alias("b"), F.col("b.near").alias("near")).distinct(), "tried")
+    first = held(_confirmed(tried, sets, percent))
+    links = first.select("a", "b")
     # rows of one id are one document, whatever their texts
     same = full.groupBy("doc_id").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).where("lo <> hi")
     same = held(full.select("doc_id", "key").join(same.select("doc_id", "lo").hint("shuffle_merge"), "doc_id").select("key", "lo").distinct())
@@ -368,21 +368,15 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
         one, two = heads.select("key", F.col("node").alias("a")), heads.select(F.col("key").alias("lo"), F.col("node").alias("b"))
         links = links.unionAll(same.join(one.hint("shuffle_merge"), "key").join(two.hint("shuffle_merge"), "lo").select("a", "b"))
     part = components(links)
-    # of the pairs that would still join two components, first the best of each two components, then all that are left
-    rest = pairs.join(tried.select("a", "b").hint("shuffle_merge"), ["a", "b"], "left_anti")
-    rest = held(_across(rest, part))
-    best = rest.groupBy("ca", "cb").agg(F.max_by(F.struct("a", "b", "near"), F.struct("near", "a", "b")).alias("p")).select("p.*")
-    best = held(best)
-    second = held(_confirmed(best, sets, percent))
-    links = held(links.unionAll(second.select("a", "b")))
-    part = components(links)
-    last = held(_across(rest.select("a", "b", "near").join(best.select("a", "b").hint("shuffle_merge"), ["a", "b"], "left_anti"), part).select("a", "b", "near"))
-    third = held(_confirmed(last, sets, percent))
-    links = held(links.unionAll(third.select("a", "b")))
+    # then the pairs that would still join two components
+    rest = written(_across(pairs.join(tried.select("a", "b").hint("shuffle_merge"), ["a", "b"], "left_anti"), part), "rest")
+    second = held(_confirmed(rest, sets, percent))
+    links = links.unionAll(second.select("a", "b"))
     part = components(links)
     crowds = regions_.where("crowd").select("group", "node")
     # a link of which a sketch was sure stood for others of its group: if the sets refute it, the group is searched exactly
-    refuted = tried.unionAll(best).unionAll(last).where("near >= 2").select("a", "b").exceptAll(confirmed.unionAll(second).unionAll(third).where("near >= 2").select("a", "b"))
+    sure = lambda rows: rows.where("near >= 2").select("a", "b")
+    refuted = sure(tried).unionAll(sure(rest)).exceptAll(sure(first).unionAll(sure(second)))
     refuted = held(refuted.select(F.explode(F.array("a", "b")).alias("node")).distinct())
     if not refuted.isEmpty():
         of = found.join(refuted.hint("shuffle_merge"), "node", "left_semi").select("group").distinct()
