@@ -64,6 +64,13 @@ def _cid(near, span) -> Column:
     return medical | (~x.isin(*CID_TRAPS) & x.rlike(r"^[A-TV-Z](?:\d{2}(?:\.\d+)?[X\d]?|\s?\d{2}(?:\.\d+)?(?:-[A-Z\d]+)?)\z"))
 
 
+def needs(label: str) -> list[str]:
+    """Words of which a text must hold one for any verdict of the label; empty if there are none."""
+    if label == "EMAIL":
+        return ["@"]
+    return [] if label in ("CPF", "FISTEL", "RG", "GEO_COORD", "CID") else WORDS.get(label, [])
+
+
 def verdict(text: Column, s: Column, e: Column, span: Column, label: str, use_cpf: bool = True, use_voter: bool = True, use_cnh: bool = True) -> Column:
     """The final label or null. The context is cut from the original text around the span as found. The guard against
     company numbers is the caller's, as it is the same for all labels."""

@@ -5,6 +5,9 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass, replace
 
+from py4j.protocol import Py4JJavaError
+from pyspark import SparkContext
+from pyspark.errors import IllegalArgumentException
 from pyspark.sql import DataFrame, SparkSession
 
 from tarja.functions.labels import COUNCILS, ISSUERS, LABELS, STATES
@@ -71,7 +74,7 @@ BUILT_IN: dict[str, list[str]] = {
         r"(?<!\d)\d{2,3}\s\d{4,5}[\s.-]?\d{4}(?!\d)",
         r"\+55[\s-]?\d{2,3}[\s-]?\d{4,5}[\s.-]?\d{4}(?!\d)",
         r"\+55\d{10,11}(?!\d)",
-        r"(?<!\d)(?:\+?55[\s-]?)?\(?\d{2,3}\)?[\s.-]?\d?\s?\d{4}[\s.-]?\d{4}(?!\d)",
+        r"(?<!\d)(?:\+?55[\s-]?)?\(?\d{2,3}\)?[\s.-]?\d{1}?\s?\d{4}[\s.-]?\d{4}(?!\d)",
         r"(?<!\d)\d{2}\s?\d{4}\s?\d{7}(?!\d)",
         r"(?<!\d)(?:\+?55[\s-]?)?\(?\d{2,3}\)?[\s.-]?\d{4,5}[\s.-]\d{4}(?!\d)",
         r"(?<!\d)\d{4}[-.\s]?\d{4}(?!\d)",
@@ -136,6 +139,16 @@ class Pattern:
     description: str = ""
 
 
+def check_java(regex: str) -> None:
+    """ValueError if the engine that runs the patterns does not take the regex; before there is a session, nothing is known."""
+    context = SparkContext._active_spark_context
+    if context is not None:
+        try:
+            context._jvm.java.util.regex.Pattern.compile("(?U)" + regex)
+        except (IllegalArgumentException, Py4JJavaError) as e:
+            raise ValueError(f"the regex does not compile in Java: {e}") from e
+
+
 def custom(label: str, regex: str, description: str = "") -> Pattern:
     """A user's pattern: label upper-cased; the regex must compile and must not match the empty string."""
     if not label or not label.strip() or not regex or not regex.strip():
@@ -146,6 +159,7 @@ def custom(label: str, regex: str, description: str = "") -> Pattern:
         raise ValueError(f"the regex does not compile: {e}") from e
     if found.match(""):
         raise ValueError("the regex matches the empty string")
+    check_java(regex)
     name = label.strip().upper()
     return Pattern(name, regex, f"custom:{name}", True, description)
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -29,7 +31,8 @@ def quoted(x: str) -> str:
 def find(text: str, regex: str, label: str, by: str, seq: int, strict: bool = False) -> Column:
     """All matches in the column `text`, left to right. A span gives up one blank on each side, its text all white space
     (strict: the span too). Written as SQL, which is far cheaper to build than the same tree of Columns."""
-    p = quoted("(?U)" + regex)
+    # a digit that must come is sought before what may not stand in front of it
+    p = quoted("(?U)" + re.sub(r"^\(\?<!\\d\)(?=\\d)", r"(?=\\d)(?<!\\d)", regex))
     at = "(acc.at + length(x.gap))"
     if strict:
         low = f"{at} + length(x.hit) - length(regexp_replace(x.hit, {quoted(chr(40) + '?U)^' + chr(92) + 's+')}, ''))"
@@ -39,10 +42,11 @@ def find(text: str, regex: str, label: str, by: str, seq: int, strict: bool = Fa
         high = f"{at} + length(x.hit) - cast(endswith(x.hit, ' ') as int)"
     bare = f"regexp_replace(x.hit, {quoted(chr(40) + '?U)^' + chr(92) + 's+|' + chr(92) + 's+$')}, '')"
     new = f"named_struct('label', {quoted(label)}, 'start', {low}, 'end', {high}, 'text', {bare}, 'detected_by', {quoted(by)}, 'seq', {seq})"
-    pairs = f"zip_with(slice(split({text}, {p}, -1), 1, size(regexp_extract_all({text}, {p}, 0))), regexp_extract_all({text}, {p}, 0), (g, h) -> named_struct('gap', g, 'hit', h))"
+    pairs = f"zip_with(slice(split({text}, {p}, -1), 1, size(hits)), hits, (g, h) -> named_struct('gap', g, 'hit', h))"
     start = f"named_struct('at', 0, 'out', cast(array() as array<{SPAN}>))"
     fold = f"aggregate({pairs}, {start}, (acc, x) -> named_struct('at', {at} + length(x.hit), 'out', concat(acc.out, array({new}))), acc -> acc.out)"
-    return F.expr(f"case when {text} rlike {p} then {fold} else cast(array() as array<{SPAN}>) end")
+    # the matches are bound by a lambda, so that they are extracted once
+    return F.expr(f"case when {text} rlike {p} then transform(array(regexp_extract_all({text}, {p}, 0)), hits -> {fold})[0] else cast(array() as array<{SPAN}>) end")
 
 
 def split_lines(spans: Column) -> Column:

@@ -1,63 +1,17 @@
-"""The functions by name in SQL: `register(spark)`. Check digits as Arrow UDFs of one implementation, spans as a table function."""
+"""The functions by name in SQL: `register(spark)`. Check digits are SQL functions made of their Column forms; pattern_spans is a table function."""
 
 from __future__ import annotations
 
 import re
 
-import pandas as pd
-from pyspark.sql import SparkSession
-from pyspark.sql.functions import pandas_udf, udtf
+from pyspark.sql import Column, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.functions import udtf
 
+from tarja.functions import checkdigits as check
 from tarja.functions.patterns import BUILT_IN
 
-
-def _digits(x: str | None) -> list[int]:
-    return [int(c) for c in re.sub(r"[^0-9]", "", x or "")]
-
-
-def _low(rest: int) -> int:
-    return 0 if rest < 2 else 11 - rest
-
-
-def _dot(d: list[int], weights) -> int:
-    return sum(a * b for a, b in zip(d, weights))
-
-
-def is_cpf(x: str | None) -> bool:
-    d = _digits(x)
-    if x is None or re.search("[*xX]", x) or len(d) != 11 or len(set(d)) == 1:
-        return False
-    return d[9] == _dot(d, range(10, 1, -1)) * 10 % 11 % 10 and d[10] == _dot(d, range(11, 1, -1)) * 10 % 11 % 10
-
-
-def is_cnh(x: str | None) -> bool:
-    d = _digits(x)
-    one = _low(_dot(d[:9], range(9, 0, -1)) % 11)
-    if len(d) == 11:
-        return d[9] == one and d[10] == _low((_dot(d[:9], range(1, 10)) + one * 10) % 11)
-    return len(d) == 10 and d[9] == one
-
-
-def is_pis(x: str | None) -> bool:
-    d = _digits(x)
-    return len(d) == 11 and len(set(d)) > 1 and d[10] == _low(_dot(d, (3, 2, *range(9, 1, -1))) % 11)
-
-
-def is_cns(x: str | None) -> bool:
-    d = _digits(x)
-    return len(d) == 15 and len(set(d)) > 1 and d[0] in (1, 2, 7, 8, 9) and d[14] == _low(_dot(d, range(15, 1, -1)) % 11)
-
-
-def is_voter(x: str | None) -> bool:
-    d = _digits(x)
-    if len(d) != 12 or not 1 <= d[8] * 10 + d[9] <= 28:
-        return False
-    rest = lambda c: c % 11 % 10
-    one = rest(_dot(d, range(2, 10)))
-    return d[10] == one and d[11] == rest(d[8] * 7 + d[9] * 8 + one * 9)
-
-
-SCALARS = {"is_cpf": is_cpf, "is_cnh": is_cnh, "is_pis": is_pis, "is_cns": is_cns, "is_voter": is_voter}
+SCALARS = {"is_cpf": check.cpf, "is_cnh": check.cnh, "is_pis": check.pis, "is_cns": check.cns, "is_voter": check.voter, "is_cnpj": check.cnpj}
 
 
 class PatternSpans:
@@ -69,7 +23,13 @@ class PatternSpans:
                 yield f"{label}:{i + 1}", m.start(), m.end(), m.group()
 
 
+def sql_of(spark: SparkSession, value: Column) -> str:
+    """The SQL text of an expression over a string x, for a function's body."""
+    plan = spark.sql("SELECT CAST(NULL AS STRING) AS x").select(value.alias("y"))._jdf.queryExecution().analyzed()
+    return plan.expressions().head().child().sql()
+
+
 def register(spark: SparkSession) -> None:
     for name, f in SCALARS.items():
-        spark.udf.register(name, pandas_udf(lambda s, f=f: pd.Series([f(x) for x in s]), "boolean"))
+        spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}(x STRING) RETURNS BOOLEAN RETURN {sql_of(spark, f(F.col('x')))}")
     spark.udtf.register("pattern_spans", udtf(PatternSpans, returnType="pattern string, start int, end int, text string"))

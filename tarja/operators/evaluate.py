@@ -8,6 +8,7 @@ the matching, so a sweep costs one more narrow pass. Null offsets never overlap.
 from __future__ import annotations
 
 from collections.abc import Iterable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -90,13 +91,20 @@ def match(truth: DataFrame, found: DataFrame) -> DataFrame:
     for side in ("pred", "true"):
         w = Window.partitionBy("id", "tp_entidade", f"start_entidade_{side}", f"end_entidade_{side}").orderBy(*ties)
         both = both.withColumn("_rank", F.row_number().over(w)).where("_rank = 1").drop("_rank")
-    pairs = both.withColumn("kind", F.lit("pair"))
-    out = pairs
+    # each side's rows and the pairs meet by the side's offsets, on the distribution of the join: a row without a pair stands alone
+    values = [f"{x}_entidade_{side}" for side in ("true", "pred") for x in ("start", "end", "text")]
+    none = lambda c: F.lit(None).cast("string" if c.startswith("text") else "int").alias(c)
+    rows = []
     for side, mine in (("true", t), ("pred", p)):
-        keys = ["id", "tp_entidade", f"start_entidade_{side}", f"end_entidade_{side}"]
-        alone = mine.join(both.select(keys), keys, "left_anti")
-        out = out.unionByName(alone.withColumns({"overlap": F.lit(0.0), "kind": F.lit(side)}), allowMissingColumns=True)
-    return out
+        rows.append(mine.select("id", "tp_entidade", F.lit(side).alias("kind"), *[F.col(c) if c.endswith(side) else none(c) for c in values], F.lit(0.0).alias("overlap"), F.lit(False).alias("paired"), F.lit(side).alias("side")))
+    marks = both.withColumn("side", F.explode(F.array(F.lit("true"), F.lit("pred"))))
+    rows.append(marks.select("id", "tp_entidade", F.lit("pair").alias("kind"), *values, "overlap", F.lit(True).alias("paired"), "side"))
+    every = reduce(DataFrame.unionAll, rows)
+    start, end = (F.when(F.col("side") == "true", F.col(f"{x}_entidade_true")).otherwise(F.col(f"{x}_entidade_pred")) for x in ("start", "end"))
+    every = every.withColumns({"_start": start, "_end": end})
+    hit = F.max("paired").over(Window.partitionBy("id", "tp_entidade", "side", "_start", "_end")) & F.col("_start").isNotNull() & F.col("_end").isNotNull()
+    every = every.withColumn("_hit", hit).where("paired and side = 'true' or not paired and not _hit")
+    return every.select("id", "tp_entidade", *values, "overlap", "kind")
 
 
 def cases(matched: DataFrame, threshold: float) -> DataFrame:

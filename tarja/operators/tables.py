@@ -47,8 +47,11 @@ def _heads(line: Column) -> Column:
 
 
 def _row_cells(line: Column) -> Column:
-    """A data row's cells without the empty ones outside the outer pipes; a row that begins with no pipe has none."""
-    return F.when(F.startswith(strip(line), F.lit("|")), F.slice(_cells(strip(line)), 2, F.greatest(F.size(_cells(strip(line))) - 2, F.lit(0)))).otherwise(F.array().cast("array<string>"))
+    """A row's cells; of the outermost ones those that are blank, outside the outer pipes, are left out."""
+    blank = lambda cells, i: F.coalesce(F.try_element_at(cells, F.lit(i)) == "", F.lit(False))
+    cells = _cells(line)
+    cells = F.when(blank(cells, 1), F.slice(cells, F.lit(2), F.size(cells))).otherwise(cells)
+    return F.when(blank(cells, -1), F.slice(cells, F.lit(1), F.size(cells) - 1)).otherwise(cells)
 
 
 def _relabel(head: Column, cell: Column) -> Column:
@@ -63,16 +66,18 @@ def table_spans(text: Column) -> Column:
     at or behind the one before."""
 
     def of_table(lines: Column) -> Column:
-        plain = _separator(F.get(lines, F.lit(1)))
-        mixed = ~plain | (plain & F.coalesce(_separator(F.get(lines, F.lit(3))), F.lit(False)))
-
-        def step(acc: Column, row: Column) -> Column:
-            line, i = row["line"], row["i"]
-            header = F.when(mixed, ~_separator(line) & acc["wants"]).otherwise(i == 0)
-            skip = _separator(line)
-
-            heads = acc["heads"]
-            pairs = F.filter(F.zip_with(heads, _row_cells(line), lambda h, c: F.struct(h.alias("head"), c.alias("cell"))), lambda p: p["head"].isNotNull() & p["cell"].isNotNull() & (p["cell"] != ""))
+        # one header, or, without a separator or with a second one, every other line
+        rule = lambda i: F.coalesce(_separator(F.get(lines, i)), F.lit(False))
+        plain = rule(F.lit(1))
+        many = ~plain | rule(F.lit(3))
+        n = F.size(lines)
+
+        def of_header(acc: Column, i: Column) -> Column:
+            heads = _heads(F.get(lines, i))
+            first = i + F.when(plain & rule(i + 1), 2).otherwise(1)
+            rows = F.slice(lines, first + 1, F.when(many, 1).otherwise(n))
+            stop = F.array_position(F.transform(rows, lambda x: F.startswith(strip(x), F.lit("|"))), False).cast("int")  # such a row ends the data
+            rows = F.when(stop > 0, F.slice(rows, F.lit(1), stop - 1)).otherwise(rows)
 
             def one(a: Column, p: Column) -> Column:
                 found = F.call_function("locate", p["cell"], text, a["at"])
@@ -81,14 +86,14 @@ def table_spans(text: Column) -> Column:
                 new = F.when(label.isNotNull() & (found > 0), F.array(span(label, found - 1, end, p["cell"], F.lit(BY), F.lit(100000)))).otherwise(empty())
                 return F.struct(F.when(found > 0, end + 1).otherwise(a["at"]).cast("int").alias("at"), F.concat(a["out"], new).alias("out"))
 
-            walked = F.aggregate(pairs, F.struct(acc["at"].alias("at"), acc["out"].alias("out")), one)
-            as_header = F.struct(acc["at"].alias("at"), acc["out"].alias("out"), _heads(line).alias("heads"), F.lit(False).alias("wants"))
-            as_data = F.struct(walked["at"].alias("at"), walked["out"].alias("out"), heads.alias("heads"), F.lit(True).alias("wants"))
-            return F.when(header, as_header).when(skip, F.struct(acc["at"].alias("at"), acc["out"].alias("out"), heads.alias("heads"), acc["wants"].alias("wants"))).otherwise(as_data)
+            def step(a: Column, line: Column) -> Column:
+                pairs = F.filter(F.zip_with(heads, _row_cells(line), lambda h, c: F.struct(h.alias("head"), c.alias("cell"))), lambda p: p["head"].isNotNull() & p["cell"].isNotNull() & (p["cell"] != ""))
+                return F.aggregate(pairs, a, one)
+
+            return F.aggregate(rows, acc, step)
 
-        rows = F.transform(lines, lambda x, i: F.struct(x.alias("line"), i.alias("i")))
-        start = F.struct(F.lit(1).alias("at"), empty().alias("out"), F.array().cast("array<string>").alias("heads"), F.lit(True).alias("wants"))
-        return F.aggregate(rows, start, step, lambda a: a["out"])
+        headers = F.when(many, F.sequence(F.lit(0), n - 1, F.lit(2))).otherwise(F.array(F.lit(0)))
+        return F.aggregate(headers, F.struct(F.lit(1).alias("at"), empty().alias("out")), of_header, lambda a: a["out"])
 
     found = F.flatten(F.transform(find_tables(text), of_table))
     return F.when(F.contains(text, F.lit("|")), found).otherwise(empty()).cast(f"array<{SPAN}>")

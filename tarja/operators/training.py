@@ -205,12 +205,12 @@ def new_labels(entities: DataFrame, known: Iterable[str]) -> list[str]:
 
 # ---- curriculum windows ---------------------------------------------------------------------------------------------
 def curriculum_filter(texts: DataFrame, entities: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Documents without an erroneous annotation; of texts with one id the greatest stays; entities once, start before end."""
+    """Documents without an erroneous annotation; of texts with one id the last of the input stays; entities once, start before end."""
     t, e = named(texts, id=ID, text=TEXT), named(entities, id=ID, start=START, end=END, label=LABEL)
     if "TEM_ERRO" in e.columns:
         e = e.join(e.where(F.coalesce(F.col("TEM_ERRO").cast("int"), F.lit(0)) != 0).select("id").distinct(), "id", "left_anti").drop("TEM_ERRO")
     e = e.where(~F.contains("label", F.lit("_remover")) & (F.col("start") < F.col("end"))).dropDuplicates(["id", "start", "end", "label"])
-    t = t.groupBy("id").agg(F.max("text").alias("text")).join(e.select("id").distinct(), "id", "left_semi")
+    t = t.withColumn("_at", F.monotonically_increasing_id()).groupBy("id").agg(F.max_by("text", "_at").alias("text")).join(e.select("id").distinct(), "id", "left_semi")
     return t, e
 
 

@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tarja.functions import checkdigits as check
-from tarja.functions.context import verdict
+from tarja.functions.context import needs, verdict
 from tarja.functions.normalize import normalize
-from tarja.functions.patterns import Catalog
+from tarja.functions.patterns import Catalog, check_java
 from tarja.functions.spans import empty, find, formatted, mask, resolve, span, split_lines
 from tarja.operators.tables import table_spans
 
@@ -21,6 +23,13 @@ def bound(df: DataFrame, name: str, value: Column) -> DataFrame:
     return df.select(*[F.col(f"`{c}`") for c in df.columns if c != name], F.explode(F.array(value)).alias(name))
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A batch source of fewer partitions than there are cores is dealt out evenly: looking through a text costs far more than
+    moving it. Larger sources, and streams, stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.isStreaming or df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 @dataclass(frozen=True)
 class Engine:
     catalog: Catalog = field(default_factory=Catalog.default)
@@ -32,7 +41,8 @@ class Engine:
     strict_spans: bool = False
     refresh_text: bool = False
     cnpj: str = "reference"
-    max_chars: int = 3_000_000
+    #: Texts of more code points have no spans, and `problem` says so; None: every text is searched.
+    max_chars: int | None = None
     #: An array<span> column of the input with what a model found, or None.
     model_spans: str | None = None
 
@@ -47,25 +57,36 @@ class Engine:
         """Without valid company numbers."""
         return F.filter(spans, lambda s: ~check.cnpj(s["text"], self.cnpj))
 
-    def regex_spans(self, text: str) -> Column:
+    def regex_spans(self, text: str, low: str | None = None) -> Column:
         """What the patterns find in the column `text` and the context confirms, in the catalog's order. Texts without
-        digit, @ or star skip all but custom patterns."""
+        digit, @ or star skip all but custom patterns, and those of labels whose verdict asks for a word near the span are
+        skipped where the text has none of the words. low: a column with the text in lower case."""
         arrays: dict[str, list[Column]] = {}
         for i, p in enumerate(self.catalog.patterns):
+            if p.custom:
+                check_java(p.regex)
             arrays.setdefault(p.label, []).append(find(text, p.regex, p.label, p.id, 1000 + i, self.strict_spans))
         custom = {p.label for p in self.catalog.patterns if p.custom}
-        gate = F.col(text).rlike("[0-9@*]")
-        out = []
+        lowered = F.col(low) if low else F.lower(F.col(text))
+        out, gated = [], []
         for label, found in arrays.items():
             checked = self._valid(F.col(text), F.flatten(F.array(*found)), label)
-            out.append(checked if label in custom else F.when(gate, checked).otherwise(empty()))
+            words = needs(label)
+            checked = F.when(reduce(or_, [F.contains(lowered, F.lit(w)) for w in words]), checked).otherwise(empty()) if words and label not in custom else checked
+            (out if label in custom else gated).append(checked)
+        if gated:
+            out.insert(0, F.when(F.col(text).rlike(r"[\p{Nd}@*]"), F.flatten(F.array(*gated))).otherwise(empty()))
         return self._guarded(F.flatten(F.array(*out))) if out else empty()
 
     def spans(self, df: DataFrame, text: str = "text") -> DataFrame:
-        """df with the column `spans`. Null texts have none; texts over `max_chars` raise."""
-        x = F.col(f"`{text}`")
-        x = F.when(F.length(x) > self.max_chars, F.raise_error(F.lit(f"text longer than {self.max_chars} characters")).cast("string")).otherwise(F.coalesce(x, F.lit("")))
-        df = bound(bound(df, "_text", x), "_regex", self.regex_spans("_text"))
+        """df with the column `spans`, and `problem` where `max_chars` is set. Null texts have none."""
+        x = F.coalesce(F.col(f"`{text}`"), F.lit(""))
+        if self.max_chars is not None:
+            long = F.length(x) > self.max_chars
+            df = df.withColumn("problem", F.when(long, F.lit(f"text longer than {self.max_chars} characters")))
+            x = F.when(long, F.lit("")).otherwise(x)
+        df = bound(bound(df, "_text", x), "_low", F.lower("_text"))
+        df = bound(df, "_regex", self.regex_spans("_text", "_low"))
         parts = [F.col("_regex")]
         if self.model_spans:
             from tarja.functions.labels import GENERIC
@@ -80,7 +101,7 @@ class Engine:
         if self.normalize_entities:
             df = bound(df, "_all", normalize(F.col("_all")))
         df = bound(df, "spans", resolve(F.col("_all"), F.col("_text") if self.refresh_text else None))
-        return df.drop("_text", "_regex", "_all")
+        return df.drop("_text", "_low", "_regex", "_all")
 
     def extract(self, df: DataFrame, text: str = "text", kind: str = "position") -> DataFrame:
         out = self.spans(df, text)

@@ -52,6 +52,11 @@ TEMPLATES = {
     "cid_detect": ("CID", "SELECT p_partkey AS id, 'Laudo com CID ' AS head, 'F' || lpad(CAST(p_partkey % 100 AS STRING), 2, '0') || '.' || CAST(p_partkey % 10 AS STRING) AS body, ' confirmado' AS tail, true AS good FROM {part}"),
     "reservista_detect": ("RESERVISTA", f"SELECT s_suppkey AS id, 'Certificado de reservista ' AS head, {number('s_suppkey', 6)} || '-' || {number('s_suppkey', 12)} AS body, '.' AS tail, true AS good FROM {{supplier}}"),
     "rg_foreign_detect": ("RG", f"SELECT s_suppkey AS id, 'Estrangeiro com ' AS head, 'CRNM ' || {number('s_suppkey', 7)} AS body, ' ok' AS tail, true AS good FROM {{supplier}}"),
+    "voter_detect": ("TITULO_ELEITOR", f"SELECT id, CASE WHEN id % 4 = 0 THEN 'Lote ' ELSE 'Inscrição eleitoral ' END AS head, raw AS body, ' ativa' AS tail, id % 4 <> 0 AS good FROM ({NUMBERS['voter']}) x"),
+    "pis_detect": ("PIS", f"SELECT id, CASE WHEN id % 4 = 0 THEN 'Lote ' ELSE 'PIS ' END AS head, raw AS body, ' ativo' AS tail, good AND id % 4 <> 0 AS good FROM ({NUMBERS['pis']}) x"),
+    "cns_detect": ("CNS", f"SELECT id, CASE WHEN id % 4 = 0 THEN 'Lote ' ELSE 'Cartão nacional de saúde ' END AS head, raw AS body, ' ativo' AS tail, good AND id % 4 <> 0 AS good FROM ({NUMBERS['cns']}) x"),
+    "cnh_detect": ("CNH", f"SELECT id, CASE WHEN id % 4 = 0 THEN 'Lote ' ELSE 'Habilitação ' END AS head, raw AS body, ' em dia' AS tail, id % 4 <> 0 AS good FROM ({NUMBERS['cnh']}) x"),
+    "passport_foreign_detect": ("PASSAPORTE", f"SELECT s_suppkey AS id, CASE WHEN s_suppkey % 3 = 0 THEN 'Chave ' ELSE 'Passport: ' END AS head, 'K' || {number('s_suppkey', 8)} AS body, ' emitido' AS tail, s_suppkey % 3 <> 0 AS good FROM {{supplier}}"),
 }
 TABLE = f"SELECT id, name, cpf, 'm' || CAST(id AS STRING) || '@x.org' AS mail, '| Nome | CPF | Email |' || chr(10) || '| --- | --- | --- |' || chr(10) || '| ' || name || ' | ' || cpf || ' | m' || CAST(id AS STRING) || '@x.org |' AS text FROM ({CPF}) x WHERE good"
 #: Ground truth and predictions: some shifted, some dropped, some spurious.

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarja.functions import checkdigits as check
-from tarja.functions.labels import ALIASES
+from tarja.functions.labels import ALIASES, WORDS
 from tarja.functions.normalize import normalize
 from tarja.functions.patterns import Catalog, custom
 from tarja.functions.spans import SPAN, find, formatted, resolve, span, split_lines
@@ -17,13 +18,13 @@ from tarja.functions.udfs import register
 from tarja.operators import evaluate as ev
 from tarja.operators import training as tr
 from tarja.plans import fixtures as fx
-from tarja.plans.engine import Engine
+from tarja.plans.engine import Engine, spread
 from tarja.sources import files
 from tarja.sources.scratch import scratch
 
 _Q: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
-_TABLE = re.compile(r"\{(\w+)\}")
+_TABLE = re.compile(r"\{(region|nation|customer|supplier|part|orders|lineitem|events|documents)\}")
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -69,11 +70,14 @@ EMAIL = r"\b[a-zA-Z0-9_.+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}\b"
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its personal data masked, all labels."""
-    out = Engine().anonymize(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    out = Engine().anonymize(spread(_table(spark, sf_dir, "documents").select("doc_id", "text")))
     return _wide(out.select("doc_id", F.size("spans").alias("n_spans"), F.sha2("masked", 256).alias("masked_sha256")))
 
 
 _Q["mask_documents"] = flagship
+#: All labels are sought; in the documents of sf0.01 and below only e-mail addresses are personal data, which the SQL finds by itself.
+_SQL["mask_documents"] = _plain(f"""SELECT doc_id, CAST(coalesce(len(regexp_extract_all(text, '{EMAIL}')), 0) AS BIGINT) AS n_spans, sha256(regexp_replace(text, '{EMAIL}', '<|EMAIL|>', 'g')) AS masked_sha256
+FROM {{documents}}""")
 
 
 @query(f"SELECT doc_id, CAST(len(regexp_extract_all(text, '{EMAIL}')) AS BIGINT) AS n, array_to_string(regexp_extract_all(text, '{EMAIL}'), ',') AS found FROM {{documents}} WHERE regexp_matches(text, '{EMAIL}')")
@@ -83,10 +87,10 @@ def email_scan(spark, sf_dir):
     return spans.select("doc_id", F.size("s").alias("n"), F.array_join(F.transform("s", lambda x: x["text"]), ",").alias("found"))
 
 
-@query(f"""SELECT doc_id, CAST(len(regexp_extract_all(text, '{EMAIL}')) AS BIGINT) AS n_spans, sha256(regexp_replace(text, '{EMAIL}', '<|EMAIL|>', 'g')) AS masked_sha256
-FROM {{documents}} WHERE text IS NOT NULL""")
+@query(f"""SELECT doc_id, CAST(coalesce(len(regexp_extract_all(text, '{EMAIL}')), 0) AS BIGINT) AS n_spans, sha256(regexp_replace(text, '{EMAIL}', '<|EMAIL|>', 'g')) AS masked_sha256
+FROM {{documents}}""")
 def email_masked(spark, sf_dir):
-    out = _only("EMAIL").anonymize(_table(spark, sf_dir, "documents").select("doc_id", "text").where("text is not null"))
+    out = _only("EMAIL").anonymize(spread(_table(spark, sf_dir, "documents").select("doc_id", "text")))
     return out.select("doc_id", F.size("spans").alias("n_spans"), F.sha2("masked", 256).alias("masked_sha256"))
 
 
@@ -102,7 +106,13 @@ def digit_run_profile(spark, sf_dir):
     return runs.groupBy(F.length("r").alias("run_length")).agg(F.count("*").alias("n")).where("run_length between 7 and 15")
 
 
-@query("""SELECT CAST(sum(len(regexp_extract_all(text, '[a-zA-Z]{2}[0-9]{5,6}'))) AS BIGINT) AS n_shapes, CAST(0 AS BIGINT) AS n_passports, CAST(0 AS BIGINT) AS n_birth_dates FROM {documents}""")
+#: A word that the verdict asks for, and the shape not far behind it.
+_NEAR = lambda label, back, shape: f"(?i)(?:{'|'.join(re.escape(w) for w in WORDS[label])})[\\s\\S]{{0,{back}}}(?:{shape})"
+
+
+@query(f"""SELECT CAST(sum(len(regexp_extract_all(text, '[a-zA-Z]{{2}}[0-9]{{5,6}}'))) AS BIGINT) AS n_shapes,
+  CAST(sum(len(regexp_extract_all(text, '{_NEAR("PASSAPORTE", 100, "[a-zA-Z]{2}[0-9]{5,6}")}'))) AS BIGINT) AS n_passports,
+  CAST(sum(len(regexp_extract_all(text, '{_NEAR("DATA_NASCIMENTO", 80, "[0-9]{2}[-/.][0-9]{2}[-/.][0-9]{2}|[0-9]{4}-[0-9]{2}-[0-9]{2}")}'))) AS BIGINT) AS n_birth_dates FROM {{documents}}""")
 def false_positive_rejection(spark, sf_dir):
     docs = _table(spark, sf_dir, "documents").select("text")
     out = _only("PASSAPORTE", "DATA_NASCIMENTO").spans(docs)
@@ -121,17 +131,26 @@ for _name, _sql in fx.NUMBERS.items():
     _check(_name, _sql, (lambda x, v=_name.partition("_")[2]: check.cnpj(x, v)) if _name.startswith("cnpj") else check.CHECKS[_name])
 
 
-@query(f"SELECT id, good AS cpf_ok, false AS pis_shape FROM ({fx.CPF}) q")
+@query(" UNION ALL ".join(f"SELECT id, '{n}' AS name, good AS valid FROM ({sql}) q" for n, sql in [("is_cpf", fx.CPF), *((f"is_{n}", fx.NUMBERS[n]) for n in ("pis", "cns", "cnh", "voter"))]))
 def sql_functions(spark, sf_dir):
     register(spark)
-    return _rows(spark, sf_dir, fx.CPF).select("id", F.expr("is_cpf(cpf)").alias("cpf_ok"), F.expr("is_pis(substr(raw, 1, 9))").alias("pis_shape"))
+    every = [("is_cpf", fx.CPF), *((f"is_{n}", fx.NUMBERS[n]) for n in ("pis", "cns", "cnh", "voter"))]
+    return reduce(DataFrame.unionAll, [_rows(spark, sf_dir, sql).select("id", F.lit(n).alias("name"), F.expr(f"{n}(raw)").alias("valid")) for n, sql in every])
+
+
+@query(f"SELECT id, CAST(length(name) + 14 AS BIGINT) AS start, cpf AS text FROM ({fx.CPF}) q")
+def pattern_spans(spark, sf_dir):
+    """The table function: raw matches, before any context."""
+    register(spark)
+    _rows(spark, sf_dir, f"SELECT id, 'Cliente ' || name || ', CPF ' || cpf AS text FROM ({fx.CPF}) q").createOrReplaceTempView("tarja_texts")
+    return spark.sql("SELECT id, s.start, s.text FROM tarja_texts t, LATERAL pattern_spans(t.text, 'CPF') s WHERE s.pattern = 'CPF:1'")
 
 
 # ---- detectors over templates ---------------------------------------------------------------------------------------
 def _detect(name: str, label: str, sql: str) -> None:
     def run(spark, sf_dir):
         rows = _rows(spark, sf_dir, sql).select("id", F.concat("head", "body", "tail").alias("text"))
-        return _wide(_listed(_only(label, foreign_rg=name == "rg_foreign_detect").spans(rows)))
+        return _wide(_listed(_only(label, foreign_rg=name == "rg_foreign_detect", foreign_passport=name == "passport_foreign_detect").spans(spread(rows))))
 
     _Q[name] = run
     _SQL[name] = _plain(f"SELECT id, '{'CNH' if name == 'cpf_relabel' else label}' AS label, CAST(length(head) AS BIGINT) AS start, CAST(length(head) + length(body) AS BIGINT) AS \"end\", body AS text FROM ({sql}) q WHERE good")
@@ -239,8 +258,8 @@ j AS (SELECT t.id, t.tp_entidade, t.start_entidade AS st, t.end_entidade AS et,
 a AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id, tp_entidade, sp, ep ORDER BY o DESC, st, et, sp, ep) AS r FROM j) x WHERE r = 1),
 b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id, tp_entidade, st, et ORDER BY o DESC, st, et, sp, ep) AS q FROM a) x WHERE q = 1),
 m AS (SELECT id, tp_entidade, 'pair' AS kind, o, st, et, sp, ep FROM b
-  UNION ALL SELECT id, tp_entidade, 'true', 0.0, start_entidade, end_entidade, NULL, NULL FROM t WHERE NOT EXISTS (SELECT 1 FROM b WHERE b.id = t.id AND b.tp_entidade = t.tp_entidade AND b.st = t.start_entidade AND b.et = t.end_entidade)
-  UNION ALL SELECT id, tp_entidade, 'pred', 0.0, NULL, NULL, start_entidade, end_entidade FROM p WHERE NOT EXISTS (SELECT 1 FROM b WHERE b.id = p.id AND b.tp_entidade = p.tp_entidade AND b.sp = p.start_entidade AND b.ep = p.end_entidade))
+  UNION ALL SELECT id, tp_entidade, 'true', 0.0, start_entidade, end_entidade, NULL, NULL FROM t LEFT JOIN (SELECT id AS i, tp_entidade AS l, st, et FROM b) x ON i = t.id AND l = t.tp_entidade AND st = t.start_entidade AND et = t.end_entidade WHERE i IS NULL
+  UNION ALL SELECT id, tp_entidade, 'pred', 0.0, NULL, NULL, start_entidade, end_entidade FROM p LEFT JOIN (SELECT id AS i, tp_entidade AS l, sp, ep FROM b) x ON i = p.id AND l = p.tp_entidade AND sp = p.start_entidade AND ep = p.end_entidade WHERE i IS NULL)
 """
 _REPORT = f"""{_PAIR},
 g AS (SELECT CAST(x AS DOUBLE) AS overlap_threshold FROM (VALUES (0.7), (0.8), (0.9)) v(x)),
@@ -353,13 +372,13 @@ for _name, _sql in _WINDOWS.items():
     query(_sql, f"windows_{_name}")(lambda spark, sf_dir, w=_name: _shown(tr.curriculum(*_annotated(spark, sf_dir), [w], {"PER2": 2})))
 
 
-@query("SELECT l_orderkey AS id, count(DISTINCT l_linenumber) AS n, CAST(max(l_linenumber) AS BIGINT) AS last FROM {lineitem} WHERE l_linenumber % 5 <> 4 AND l_orderkey NOT IN (SELECT l_orderkey FROM {lineitem} WHERE l_quantity > 45 AND l_linenumber = 1) GROUP BY 1")
+@query("SELECT l_orderkey AS id, 'u' AS text, count(DISTINCT l_linenumber) AS n, CAST(max(l_linenumber) AS BIGINT) AS last FROM {lineitem} WHERE l_linenumber % 5 <> 4 AND l_orderkey NOT IN (SELECT l_orderkey FROM {lineitem} WHERE l_quantity > 45 AND l_linenumber = 1) GROUP BY 1")
 def curriculum_filter(spark, sf_dir):
     rows = _table(spark, sf_dir, "lineitem")
     e = rows.select(F.col("l_orderkey").alias("id"), F.col("l_linenumber").alias("start"), (F.col("l_linenumber") + 1).alias("end"), F.when(F.col("l_linenumber") % 5 == 4, "X_remover").otherwise("RG").alias("label"), ((F.col("l_quantity") > 45) & (F.col("l_linenumber") == 1)).cast("int").alias("TEM_ERRO"))
     texts = rows.select(F.col("l_orderkey").alias("id"), F.lit("t").alias("text")).unionAll(rows.select(F.col("l_orderkey").alias("id"), F.lit("u").alias("text")))
     t, e = tr.curriculum_filter(texts, e)
-    return e.join(t, "id").groupBy("id").agg(F.count("*").alias("n"), F.max("start").alias("last"))
+    return e.join(t, "id").groupBy("id", "text").agg(F.count("*").alias("n"), F.max("start").alias("last"))
 
 
 #: Entities of an order: lines as long as their quantity, so that some overlap.
@@ -418,12 +437,14 @@ def stratified_folds(spark, sf_dir):
     return tr.stratified_folds(_rows(spark, sf_dir, _SPANS).select("id", "label"), 5)
 
 
-@query(f"SELECT CAST(fold AS BIGINT) AS fold, count(*) AS n_train FROM (SELECT CAST(ntile(5) OVER (ORDER BY {_KEY}, id) - 1 AS BIGINT) AS f, id FROM (SELECT DISTINCT l_orderkey AS id FROM {{lineitem}}) x) y JOIN (VALUES (0), (1), (2), (3), (4)) v(fold) ON f <> fold GROUP BY fold")
+@query(f"""SELECT CAST(fold AS BIGINT) AS fold, CASE WHEN f = fold THEN 'validation' ELSE 'train' END AS part, count(*) AS n
+FROM (SELECT CAST(ntile(5) OVER (ORDER BY {_KEY}, id) - 1 AS BIGINT) AS f, id FROM (SELECT DISTINCT l_orderkey AS id FROM {{lineitem}}) x) y, (VALUES (0), (1), (2), (3), (4)) v(fold) GROUP BY ALL""")
 def fold_pairs(spark, sf_dir):
     ids = _table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("id"))
-    f = tr.folds(ids, 5).persist()
-    grid = F.broadcast(spark.range(5).select(F.col("id").cast("int").alias("k")))
-    return f.join(grid, F.col("fold") != F.col("k")).groupBy(F.col("k").alias("fold")).agg(F.count("*").alias("n_train"))
+    f = tr.folds(ids, 5)
+    pairs = [(k, *tr.fold_pair(ids, f, k)) for k in range(5)]
+    count = lambda df, k, name: df.agg(F.lit(k).alias("fold"), F.lit(name).alias("part"), F.count_distinct("id").alias("n"))
+    return reduce(DataFrame.unionAll, [count(df, k, name) for k, *both in pairs for df, name in zip(both, ("train", "validation"))])
 
 
 @query("""SELECT tp_entidade, round(avg(x), 9) AS fbeta_mean, round(stddev_samp(x), 9) AS fbeta_std, CAST(arg_max(fold, x * 1000000 - fold) AS BIGINT) AS best_fold
