@@ -28,18 +28,28 @@ def _trim(s: Column, text: Column, start: Column, end: Column) -> Column:
     return span(s["label"], start + n - left, end - (n - right), F.regexp_replace(text, r"(?U)^\s+|\s+$", ""), s["detected_by"], s["seq"])
 
 
-def _cut(s: Column, rules: dict[str, list[str]], front: bool) -> Column:
-    out = s
-    cases = None
+def _rules(s: Column, rules: dict[str, list[str]], front: bool):
+    """(pattern, whether it applies, the span without what it finds) of each rule."""
     for label, patterns in rules.items():
         for p in patterns:
             found = F.regexp_extract(s["text"], "(?iuU)" + p, 0)
             k = F.length(found)
             rest = F.substring(s["text"], k + 1, F.length(s["text"])) if front else F.substring(s["text"], F.lit(1), F.length(s["text"]) - k)
             ok = (s["label"] == label) & (k > 0) & rest.rlike(r"(?U)[\p{IsAlphabetic}\p{IsDigit}]")
-            new = _trim(s, rest, s["start"] + k, s["end"]) if front else _trim(s, rest, s["start"], s["end"] - k)
-            cases = F.when(ok, new) if cases is None else cases.when(ok, new)
-    return cases.otherwise(out)
+            yield p, ok, _trim(s, rest, s["start"] + k, s["end"]) if front else _trim(s, rest, s["start"], s["end"] - k)
+
+
+def _cut(s: Column, rules: dict[str, list[str]], front: bool) -> Column:
+    cases = None
+    for _, ok, new in _rules(s, rules, front):
+        cases = F.when(ok, new) if cases is None else cases.when(ok, new)
+    return cases.otherwise(s)
+
+
+def rule(s: Column) -> Column:
+    """The patterns by which `normalize` cuts the span, parted by " | ", or null if none does."""
+    first = lambda x, rules, front: F.coalesce(*[F.when(ok, F.lit(p)) for p, ok, _ in _rules(x, rules, front)])
+    return F.nullif(F.concat_ws(" | ", first(s, PREFIX, True), first(_cut(s, PREFIX, True), SUFFIX, False)), F.lit(""))
 
 
 def normalize(spans: Column) -> Column:

@@ -67,6 +67,15 @@ def predictions(engine, texts: DataFrame) -> DataFrame:
     return found.select("id", F.explode("spans").alias("s")).select("id", F.col("s.label").alias("tp_entidade"), F.col("s.start").alias("start_entidade"), F.col("s.end").alias("end_entidade"), F.col("s.text").alias("text_entidade"), F.col("s.detected_by").alias("detected_by"))
 
 
+def cached_predictions(engine, texts: DataFrame, path: str, force: bool = False) -> DataFrame:
+    """The predictions kept at path; made and kept there first if there are none yet, or anew with `force`."""
+    spark = texts.sparkSession
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if force or not folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(spark._jvm.org.apache.hadoop.fs.Path(path, "_SUCCESS")):
+        predictions(engine, texts).write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
 def iou(start_a: Column, end_a: Column, start_b: Column, end_b: Column) -> Column:
     """Shared part over hull; 0 where they only touch, a side is null or the hull is empty."""
     shared = F.least(end_a, end_b) - F.greatest(start_a, start_b)

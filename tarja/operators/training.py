@@ -12,6 +12,8 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tarja.functions.spans import bound
+
 ENTITIES = "array<struct<start:int,end:int,label:string>>"
 ID, TEXT, LABEL, START, END = ("id", "id_doc", "id_documento"), ("text", "texto"), ("tp_entidade", "entidade", "label"), ("start_entidade", "start"), ("end_entidade", "end")
 WINDOWS = {"w0": 0, "w1": 1, "w2": 2}
@@ -133,13 +135,13 @@ def tokens(text: Column) -> Column:
 
 def aligned(text: Column, entities: Column) -> Column:
     """Entities that begin and end with a token."""
-    b = token_bounds(text)
-    return F.filter(entities, lambda e: F.array_contains(b["starts"], e["start"]) & F.array_contains(b["ends"], e["end"]))
+    inside = lambda b: F.filter(entities, lambda e: F.array_contains(b["starts"], e["start"]) & F.array_contains(b["ends"], e["end"]))
+    return F.transform(F.array(token_bounds(text)), inside)[0]  # the bounds are found once
 
 
-def biluo(text: Column, entities: Column) -> Column:
+def biluo(text: Column, entities: Column, bounds: Column | None = None) -> Column:
     """A tag for each token: O, or B-, I-, L-, U- and the label; - for tokens of an entity that is not aligned."""
-    b = token_bounds(text)
+    b = token_bounds(text) if bounds is None else bounds
     spans = F.arrays_zip(b["starts"].alias("starts"), b["ends"].alias("ends"))
 
     def tag(t: Column) -> Column:
@@ -179,10 +181,10 @@ def clean(examples: DataFrame, conflicts: str = "coerce", strict: bool = False,
         raise ValueError("conflicts is coerce, ignore or raise; align is tokens or none")
     n = F.length("text")
     inside = F.filter(F.coalesce("entities", none()), lambda e: (e["start"] >= 0) & (e["end"] <= n) & (e["start"] < e["end"]))
-    df = examples.withColumn("_split", split_lines(F.col("text"), inside)).withColumn("_had", F.size(F.coalesce("entities", none())) > 0)
-    df = df.withColumn("_out", trim_edges(F.col("text"), F.col("_split")))
+    df = bound(examples, "_split", split_lines(F.col("text"), inside)).withColumn("_had", F.size(F.coalesce("entities", none())) > 0)
+    df = bound(df, "_out", trim_edges(F.col("text"), F.col("_split")))
     if align == "tokens":
-        df = df.withColumn("_out", aligned(F.col("text"), F.col("_out")))
+        df = bound(df, "_out", aligned(F.col("text"), F.col("_out")))
     df = df.withColumn("_bad", clashes(F.col("_out"))).withColumn("_lost", F.size("_out") < F.size("_split"))
     if conflicts == "raise":
         df = df.withColumn("_bad", F.when(F.col("_bad"), F.raise_error(F.lit("entities overlap")).cast("boolean")).otherwise(F.lit(False)))
@@ -190,7 +192,7 @@ def clean(examples: DataFrame, conflicts: str = "coerce", strict: bool = False,
         df = df.withColumn("_out", F.array_distinct("_out"))
     drop = F.col("_bad") if conflicts == "coerce" else F.lit(False)
     reason = F.when(drop, "conflict").when(F.lit(strict) & F.col("_lost"), "strict").when(F.col("text").isNull() | ((F.size("_out") == 0) & (F.col("_had") | F.lit(not keep_empty))), "empty").otherwise("kept")
-    return df.withColumn("reason", reason).withColumn("entities", F.col("_out")).drop("_split", "_had", "_out", "_bad", "_lost")
+    return bound(df, "reason", reason).withColumn("entities", F.col("_out")).drop("_split", "_had", "_out", "_bad", "_lost")
 
 
 def clean_counts(cleaned: DataFrame) -> DataFrame:

@@ -13,16 +13,10 @@ from tarja.functions import checkdigits as check
 from tarja.functions.context import needs, verdict
 from tarja.functions.normalize import normalize
 from tarja.functions.patterns import Catalog, check_java
-from tarja.functions.spans import empty, find, formatted, mask, resolve, span, split_lines
+from tarja.functions.spans import bound, empty, find, formatted, mask, resolve, span, split_lines
 from tarja.operators.tables import table_spans
 
 
-def bound(df: DataFrame, name: str, value: Column) -> DataFrame:
-    """df with a column that later expressions use as it is: the optimizer would copy a plain projection's whole tree into
-    each of the hundreds of places that name it. A one-row generator ends that, on streams too."""
-    return df.select(*[F.col(f"`{c}`") for c in df.columns if c != name], F.explode(F.array(value)).alias(name))
-
-
 def spread(df: DataFrame) -> DataFrame:
     """A batch source of fewer partitions than there are cores is dealt out evenly: looking through a text costs far more than
     moving it. Larger sources, and streams, stay as they are."""

@@ -16,6 +16,7 @@ from tarja.functions.patterns import Catalog, custom
 from tarja.functions.spans import SPAN, find, formatted, resolve, span, split_lines
 from tarja.functions.udfs import register
 from tarja.operators import evaluate as ev
+from tarja.operators import tagger as tg
 from tarja.operators import training as tr
 from tarja.plans import fixtures as fx
 from tarja.plans.engine import Engine, spread
@@ -455,6 +456,29 @@ def fold_aggregation(spark, sf_dir):
     return tr.aggregate_folds(rows).select("tp_entidade", F.round("fbeta_mean", 9).alias("fbeta_mean"), F.round("fbeta_std", 9).alias("fbeta_std"), "best_fold")
 
 
+# ---- the tagger -----------------------------------------------------------------------------------------------------
+def _tagged(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    rows = _rows(spark, sf_dir, f"SELECT id, 'Cliente ' || name || ', CPF ' || cpf || ' em dia' AS text, length(name) + 14 AS at FROM ({fx.CPF}) q")
+    return rows.select("id", "text"), rows.select("id", F.col("at").alias("start"), (F.col("at") + 14).alias("end"), F.lit("CPF").alias("label"))
+
+
+@query(f"""SELECT CAST(fold AS BIGINT) AS fold, tp_entidade, count(*) AS qtd_ids, CAST(1 AS DOUBLE) AS fbeta
+FROM (SELECT CAST(ntile(2) OVER (ORDER BY {_KEY}, id) - 1 AS BIGINT) AS fold, id FROM ({fx.CPF}) q) x, (VALUES ('CPF'), ('TODAS')) v(tp_entidade) GROUP BY ALL""")
+def cross_validation(spark, sf_dir):
+    """A tagger for each fold, held against the fold's own documents."""
+    reports = tg.cross_validate(*_tagged(spark, sf_dir), n=2, stratified=False, path=scratch(spark, "folds"), width=1 << 10, rounds=6)
+    return reports.select("fold", "tp_entidade", "qtd_ids", F.round("fbeta", 6).alias("fbeta"))
+
+
+@query(f"SELECT id, 'Cliente ' || name || ', CPF <|CPF|> em dia' AS masked FROM ({fx.CPF}) q")
+def tagger_roundtrip(spark, sf_dir):
+    """A tagger that was saved and loaded, as the engine's model; the numbers need no check digits here."""
+    texts, entities = _tagged(spark, sf_dir)
+    path = tg.train(tg.prepare(tr.join_entities(texts, entities)), width=1 << 10, rounds=6).save(scratch(spark, "tagger"))
+    rows = tg.Tagger.load(spark, path).annotate(texts)
+    return Engine(Catalog().with_labels(["CPF"]), model_spans="model_spans", use_cpf_validator=False).anonymize(rows).select("id", "masked")
+
+
 # ---- files and streams ----------------------------------------------------------------------------------------------
 @query(f"SELECT text, {_AT('9', '9 + n', 'PER1')} || ',' || {_AT('27 + n', '27 + 2 * n', 'PER2')} AS entities FROM ({_SIZED}) s")
 def annotation_roundtrip(spark, sf_dir):
