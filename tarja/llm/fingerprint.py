@@ -1,11 +1,14 @@
 """Operator 10, document fingerprints: a Merkle tree over leaves of words, paragraphs and sections; Spark expressions only.
 
 A paragraph ends with its line feed, a section is a run of paragraphs up to a blank line, a leaf is up to three words of a
-paragraph with the blanks after them (a text without blanks is one leaf). Each level's digest covers the digests below it,
-and every character lies in a leaf, so equal roots mean equal texts (but for hash collisions: 128-bit above the leaves) and
-descending where digests differ locates an edit. A fingerprint is ``root.section-section...leafleaf...`` in hex.
-Likeness of two fingerprints: 1 if the roots are equal, else shared distinct leaf digests over the larger count of them.
-Null text counts as empty; an empty text has no leaf and is like only another empty one. Equal ids go by text.
+paragraph with the blanks after them, or up to 24 characters of a longer run without blanks. A paragraph's digest covers
+those of its leaves (64 bits each), a section's those of its paragraphs, the root's those of the sections (128 bits each), and
+every character lies in a leaf, so equal roots mean equal texts, but for hash collisions. A fingerprint is
+``root.section:paragraph leaf leaf...,paragraph...-section:...`` in hex, digests cut to 64 and leaves to 32 bits.
+Likeness of two fingerprints descends from the roots: equal roots give 1; equal branches count with all their leaves; below
+those that differ, leaves are compared by themselves. It is the leaves found equal over those of the larger side; `edits`
+descends in the same way and names what differs. Null text counts as empty; an empty text has no leaf and is like only
+another empty one. Equal ids go by text; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -15,39 +18,76 @@ from pyspark.sql import functions as F
 
 from tarja.llm.common import documents, null_id, partitions, table
 
-LEAF = r"\n|(?:[^ \n]*+ ){1,3}+|[^ \n]++"
+LEAF = r"\n|(?:[^ \n]{0,24}+ ){1,3}+|[^ \n]{1,24}+"
+SECTION = r"(?<=\n[ \t]{0,8}\n)(?=[^\n])"
+LOW = 0xFFFFFFFF
 
 
-def section_digests(text: Column) -> Column:
-    """Each section's digest over its paragraphs' digests."""
-    sections = F.split(text, r"(?<=\n[ \t]{0,8}\n)(?=[^\n])")
-    return F.transform(sections, lambda s: F.md5(F.array_join(F.transform(F.split(s, r"(?<=\n)"), lambda p: F.md5(p)), "")))
+def _with(value: Column, use) -> Column:
+    """use(value), the value made once."""
+    return F.transform(F.array(value), use)[0]
 
 
-def leaf_digests(text: Column) -> Column:
-    """Each leaf's 32-bit digest, in order."""
-    return F.transform(F.regexp_extract_all(text, F.lit(LEAF), F.lit(0)), lambda x: F.hash(x))
+def tree(text: Column) -> Column:
+    """array<struct<digest, paragraphs: array<struct<digest, leaves: array<long>>>>>, each digest over those below it."""
 
+    def paragraph(p: Column) -> Column:
+        leaves = F.transform(F.regexp_extract_all(p, F.lit(LEAF), F.lit(0)), lambda x: F.xxhash64(x))
+        return _with(leaves, lambda x: F.struct(F.md5(F.array_join(x.cast("array<string>"), ",")).alias("digest"), x.alias("leaves")))
 
-def tree(text: Column) -> Column:
-    return F.struct(section_digests(text).alias("sections"), leaf_digests(text).alias("leaves"))
+    def section(s: Column) -> Column:
+        return _with(F.transform(F.split(s, r"(?<=\n)"), paragraph), lambda ps: F.struct(F.md5(F.array_join(ps["digest"], "")).alias("digest"), ps.alias("paragraphs")))
+
+    return F.transform(F.split(text, SECTION), section)
 
 
 def root(t: Column) -> Column:
-    return F.md5(F.array_join(t["sections"], ""))
+    return F.md5(F.array_join(t["digest"], ""))
 
 
 def as_text(t: Column) -> Column:
     """The fingerprint as a string."""
-    leaves = F.array_join(F.transform(t["leaves"], lambda x: F.right(F.concat(F.lit("0000000"), F.hex(x.cast("long").bitwiseAND(0xFFFFFFFF))), F.lit(8))), "")
-    return F.concat(root(t), F.lit("."), F.array_join(F.transform(t["sections"], lambda s: F.substring(s, 1, 16)), "-"), F.lit("."), leaves)
+    leaf = lambda x: F.right(F.concat(F.lit("0000000"), F.hex(x.bitwiseAND(F.lit(LOW)))), F.lit(8))
+    paragraph = lambda p: F.concat(F.substring(p["digest"], 1, 16), F.array_join(F.transform(p["leaves"], leaf), ""))
+    section = lambda s: F.concat(F.substring(s["digest"], 1, 16), F.lit(":"), F.array_join(F.transform(s["paragraphs"], paragraph), ","))
+    return F.concat(root(t), F.lit("."), F.array_join(F.transform(t, section), "-"))
+
+
+def branches(t: Column) -> Column:
+    """Each leaf with the paragraph it hangs on, as one long: 32 bits of the paragraph's digest, 32 of its own. Two trees share
+    such a number where they share the whole paragraph, alone or within an equal section."""
+    of = lambda p: _with(F.shiftleft(F.hash(p["digest"]).cast("long"), 32), lambda high: F.transform(p["leaves"], lambda x: high.bitwiseOR(x.bitwiseAND(F.lit(LOW)))))
+    return F.flatten(F.transform(F.flatten(t["paragraphs"]), of))
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """From 0 to 1, of two trees."""
-    x, y = F.array_distinct(a["leaves"]), F.array_distinct(b["leaves"])
-    most = F.greatest(F.size(x), F.size(y))
-    return F.when(root(a) == root(b), F.lit(1.0)).otherwise(F.coalesce(F.try_divide(F.size(F.array_intersect(x, y)).cast("double"), most.cast("double")), F.lit(0.0)))
+    """From 0 to 1, of two structs (root, branches)."""
+    x, y = a["branches"], b["branches"]
+    below = lambda one, other: F.array_distinct(F.transform(F.array_except(one, other), lambda v: v.bitwiseAND(F.lit(LOW))))
+
+    def weigh(p: Column) -> Column:
+        equal = (p["same"] + F.size(F.array_intersect(p["x"], p["y"]))).cast("double")
+        return F.coalesce(F.try_divide(equal, (p["same"] + F.greatest(F.size(p["x"]), F.size(p["y"]))).cast("double")), F.lit(0.0))
+
+    parts = F.struct(F.size(F.array_intersect(x, y)).alias("same"), below(x, y).alias("x"), below(y, x).alias("y"))
+    return F.when(a["root"] == b["root"], F.lit(1.0)).otherwise(_with(parts, weigh))
+
+
+def edits(a: Column, b: Column) -> Column:
+    """array<struct<section, paragraph, leaf>>: the places (from 0) of tree a whose leaves b has not, found by descending only
+    where digests differ."""
+    sections, paragraphs = b["digest"], F.flatten(b["paragraphs"])
+    leaves = F.flatten(paragraphs["leaves"])
+
+    def of_paragraph(p: Column, s: Column, i: Column) -> Column:
+        new = F.filter(F.transform(p["leaves"], lambda x, k: F.struct(x.alias("x"), k.alias("k"))), lambda v: ~F.array_contains(leaves, v["x"]))
+        places = F.transform(new, lambda v: F.struct(s.alias("section"), i.alias("paragraph"), v["k"].alias("leaf")))
+        return F.when(F.array_contains(paragraphs["digest"], p["digest"]), F.array().cast("array<struct<section:int,paragraph:int,leaf:int>>")).otherwise(places)
+
+    def of_section(t: Column, s: Column) -> Column:
+        return F.when(F.array_contains(sections, t["digest"]), F.array().cast("array<struct<section:int,paragraph:int,leaf:int>>")).otherwise(F.flatten(F.transform(t["paragraphs"], lambda p, i: of_paragraph(p, s, i))))
+
+    return F.flatten(F.transform(a, of_section))
 
 
 def with_next(docs: DataFrame, buckets: int) -> DataFrame:
@@ -76,4 +116,6 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = with_next(docs, 4 * partitions(spark))
     rows = rows.select("doc_id", "text", "next_text", F.concat(F.substring(F.col("text"), F.lit(1), F.length("text") - half), F.substring(F.col("next_text"), F.lit(1), half)).alias("edited"))
     trees = rows.select("doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), tree(F.col("text")).alias("a"), tree(F.col("edited")).alias("b"), tree(F.col("next_text")).alias("c"))
-    return trees.select(null_id(), "n_chars", "edited_sha256", as_text(F.col("a")).alias("fingerprint"), as_text(F.col("b")).alias("edited_fingerprint"), likeness(F.col("a"), F.col("b")).alias("near_edited"), likeness(F.col("a"), F.col("c")).alias("near_next"))
+    short = lambda t: F.struct(root(F.col(t)).alias("root"), branches(F.col(t)).alias("branches")).alias(t)
+    trees = trees.select("doc_id", "n_chars", "edited_sha256", as_text(F.col("a")).alias("fingerprint"), as_text(F.col("b")).alias("edited_fingerprint"), short("a"), short("b"), short("c"))
+    return trees.select(null_id(), "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", likeness(F.col("a"), F.col("b")).alias("near_edited"), likeness(F.col("a"), F.col("c")).alias("near_next"))
