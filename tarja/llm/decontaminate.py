@@ -5,13 +5,13 @@ most `edits` edits (one for each 16 bytes of a shorter item). Case and kinds of
 of which one has m bytes and that are k edits apart share at least m - q + 1 - kq q-grams, on diagonals at most k apart: so
 positions whose neighbourhood holds fewer shared q-grams are out, the others are counted by item in overlapping diagonal
 bands, and regions that meet the bound are verified by an alignment limited to the band.
-Items go through in blocks of about `block_bytes`, each sent to all tasks; blocks follow one another, so the benchmark may
-be of any size. Null or empty texts and items shorter than q bytes match nothing; repeated rows match each.
+Items go through in blocks of about `block_bytes`, each sent to all tasks; blocks follow one another, the driver holds one at
+a time and a written table what it found, so the benchmark may be of any size, at the cost of a pass over the texts for each. Null or empty texts and items shorter than q bytes match nothing; repeated rows match each.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarja.llm.common import arrow_rows, documents, null_id, slices, table, texts_as_bytes
+from tarja.llm.common import arrow_rows, documents, null_id, slices, table, texts_as_bytes, written
 
 Q, WINDOW, EDITS = 8, 48, 3
 _FOLD = np.arange(256, dtype=np.uint8)
@@ -162,12 +162,11 @@ class Index:
         return max(lo, stop - m), min(hi, stop), best
 
 
-def item_blocks(benchmark: DataFrame, block_bytes: int) -> list[list[tuple[int, str]]]:
-    """The items in blocks of about `block_bytes` of text (by hash; a longer item is a block's excess), empty ones left out."""
+def item_blocks(benchmark: DataFrame, block_bytes: int) -> tuple[int, Callable[[int], list[tuple[int, str]]]]:
+    """The number of blocks of about `block_bytes` of text (by hash; a longer item is a block's excess), and what collects one."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null")
-    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = int(total // block_bytes) + 1
-    return [[(r[0], r[1]) for r in items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k).collect()] for k in range(n)]
+    n = int((items.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // block_bytes) + 1
+    return n, lambda k: [(r[0], r[1]) for r in items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k).collect()]
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, block_bytes: int = 8 << 20) -> DataFrame:
@@ -190,7 +189,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, block_bytes: int = 8 <<
 
         return docs.select("doc_id", F.lower("text").alias("text")).mapInArrow(run, "doc_id long, item_id long, start long, stop long, edits int")
 
-    return reduce(DataFrame.unionAll, [matched(b) for b in item_blocks(benchmark, block_bytes)])
+    n, block = item_blocks(benchmark, block_bytes)
+    return matched(block(0)) if n == 1 else reduce(DataFrame.unionAll, [written(matched(block(k)), "contaminated") for k in range(n)])
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, block_bytes: int = 8 << 20) -> DataFrame:
@@ -208,7 +208,10 @@ def clean(docs: DataFrame, benchmark: DataFrame, block_bytes: int = 8 << 20) ->
 
         return rows_in.withColumn("lower-cased text", F.lower("text")).mapInArrow(run, schema)
 
-    return reduce(left, item_blocks(benchmark, block_bytes), docs)
+    n, block = item_blocks(benchmark, block_bytes)
+    for k in range(n):
+        docs = left(docs, block(k)) if n == 1 else written(left(docs, block(k)), "clean")
+    return docs
 
 
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

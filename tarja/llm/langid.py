@@ -1,8 +1,8 @@
 """Operator 6, language identification: blended-spectrum presence kernel, Nystroem landmarks, one-versus-rest kernel ridge.
 
 A text's spectrum is the set of hashed byte n-grams (n = 1..4, letters lower-cased, every other ASCII sign a blank). The
-kernel of two texts is |A n B| / sqrt(|A||B|). Fitting takes at most `per_language` texts of each language (chosen by a hash
-of the id, over all labelled rows) and draws `landmarks` of them; ridge regression on the Nystroem features gives a
+kernel of two texts is |A n B| / sqrt(|A||B|). Fitting takes about `per_language` texts of each language, or as many as make
+`most_rows` in all where there are many languages (chosen by a hash of id and text, over all labelled rows), and draws `landmarks` of them; ridge regression on the Nystroem features gives a
 weight per landmark and language. As the kernel is linear in presence, landmarks fold into one matrix, and scoring is one
 product of a presence batch with it. Whole texts are scored; a text that is null or has no letter is `und` with score 0.
 Ties go to the first language by name; without any learnable row all is `und`. Null ids are scored and never fitted.
@@ -48,15 +48,15 @@ def held_out(doc_id="doc_id"):
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0
 
 
-def fit(rows: DataFrame, per_language: int = 500, landmarks: int = 300, ridge: float = 0.3, seed: int = 11) -> tuple[list[str], np.ndarray]:
-    """Languages and the folded matrix (BINS x languages). rows: doc_id, text, lang; what reaches the driver is at most
-    `per_language` bitmaps of 4 kB for each language."""
-    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(512).collect()}
-    if not counts:
+def fit(rows: DataFrame, per_language: int = 500, landmarks: int = 300, ridge: float = 0.3, seed: int = 11, most_rows: int = 16_000) -> tuple[list[str], np.ndarray]:
+    """Languages and the folded matrix (BINS x languages). rows: doc_id, text, lang; what reaches the driver is about
+    `most_rows` bitmaps of 4 kB at most, and every language that is in the sample is learned."""
+    counts = rows.groupBy("lang").agg(F.count("*").alias("n"))
+    n_langs = counts.count()
+    if not n_langs:
         return [], np.zeros((BINS, 0), np.float32)
-    share = F.create_map(*[x for lang, n in counts.items() for x in (F.lit(lang), F.lit(min(1.0, per_language / n)))])
-    chance = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 20)) / float(1 << 20)
-    drawn = rows.where(chance < share[F.col("lang")])
+    chance = F.pmod(F.xxhash64("doc_id", "text", F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
+    drawn = rows.join(counts.hint("broadcast") if n_langs <= 100_000 else counts, "lang").where(chance * F.col("n") < min(per_language, most_rows / n_langs)).select("doc_id", "text", "lang")
 
     def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -64,7 +64,7 @@ def fit(rows: DataFrame, per_language: int = 500, landmarks: int = 300, ridge: f
                 flags = presence(*texts_as_bytes(part.column(1)))
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array([r.tobytes() for r in np.packbits(flags, axis=1)], pa.binary())], names=["doc_id", "lang", "bits"])
 
-    got = drawn.select("doc_id", F.lower("text").alias("text"), "lang").mapInArrow(bits, "doc_id long, lang string, bits binary").limit(2 * per_language * len(counts)).collect()
+    got = drawn.select("doc_id", F.lower("text").alias("text"), "lang").mapInArrow(bits, "doc_id long, lang string, bits binary").collect()
     got.sort(key=lambda r: (r["doc_id"], r["bits"]))
     langs = sorted({r["lang"] for r in got})
     if not langs:

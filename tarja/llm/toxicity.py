@@ -2,8 +2,8 @@
 
 Features of a whole text: density, count and spread of words whose stem is in a lexicon learned from the labels (whole words
 and stems of four to eight letters by log-odds), second-person words near them, capitals, punctuation, marks, and words
-written with signs or digits inside. Fitting reads at most `most_rows` labelled rows (chosen by a hash of the id); out-of-fold
-scores of the trees give the isotonic map. labels, lang, source and doc_id are never features. Several labels of one
+written with signs or digits inside. Fitting reads about `most_rows` labelled rows (chosen by a hash of id and text); for the
+isotonic map, each third of them is scored by trees and a lexicon that were learned without it. labels, lang, source and doc_id are never features. Several labels of one
 document count as the highest; null labels are ignored. Null or empty text is scored like a text without words; without
 labels of both kinds every score is 0. Repeated rows are scored each; an empty table gives no rows.
 """
@@ -33,7 +33,7 @@ _HIDE[[*b"0123456789@$!*#."]] = True
 _LETTER = np.zeros(256, bool)
 _LETTER[[*range(65, 91), *range(97, 123)]] = True
 STEMS = tuple(range(4, 9))
-N_FEATURES = 13
+N_FEATURES, FOLDS = 13, 3
 
 
 class Weights(dict):
@@ -80,20 +80,29 @@ def features(text: str, weights: Weights) -> list[float]:
     ]
 
 
-def learn_lexicon(rows: DataFrame, size: int = 400, support: int = 4) -> dict[str, float]:
-    """The `size` words (ending in $) and stems most tied to label 1. rows: text, toxic (0/1)."""
+def learn_lexicons(rows: DataFrame, size: int = 400, support: int = 4) -> list[dict[str, float]]:
+    """The `size` words (ending in $) and stems most tied to label 1: learned without fold 0, 1, ... and, last, from all rows.
+    rows: text, toxic (0/1), fold (below FOLDS). The words are counted once, by fold."""
     word = F.array_distinct(F.filter(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"), lambda x: x != ""))
     entries = F.flatten(F.transform(word, lambda x: F.concat(F.array(F.concat(x, F.lit("$"))), *[F.when(F.length(x) >= n, F.array(F.substring(x, 1, n))).otherwise(F.array().cast("array<string>")) for n in STEMS])))
-    totals = rows.agg(F.sum("toxic"), F.count("*")).first()
-    bad, good = float(totals[0] or 0), float((totals[1] or 0) - (totals[0] or 0))
-    if not bad or not good:
-        return {}
-    seen = rows.select("toxic", F.explode(F.array_distinct(entries)).alias("entry")).groupBy("entry").agg(F.sum("toxic").alias("t"), F.sum(1 - F.col("toxic")).alias("c")).where(f"t >= {support}")
-    odds = F.log((F.col("t") + 0.5) / (bad + 1)) - F.log((F.col("c") + 0.5) / (good + 1))
-    score = odds * F.sqrt("t")
-    # a word is toxic by nature, or shared by chance: keep what is far likelier under label 1
-    best = seen.select("entry", odds.alias("odds"), score.alias("score")).where("odds > 1.6").orderBy(F.desc("score"), "entry").limit(size).collect()
-    return {r["entry"]: float(r["odds"]) for r in best}
+    by_fold = lambda: [F.sum(F.when(F.col("fold") == k, value).otherwise(0.0)).alias(f"{name}{k}") for k in range(FOLDS) for name, value in (("t", F.col("toxic")), ("c", 1 - F.col("toxic")))]
+    totals = rows.agg(*by_fold()).first()
+    seen = rows.select("toxic", "fold", F.explode(F.array_distinct(entries)).alias("entry")).groupBy("entry").agg(*by_fold())
+    seen = seen.where(" + ".join(f"t{k}" for k in range(FOLDS)) + f" >= {support}").persist()
+    out = []
+    for without in [*range(FOLDS), None]:
+        kept = [k for k in range(FOLDS) if k != without]
+        bad, good = (sum(totals[f"{name}{k}"] or 0.0 for k in kept) for name in "tc")
+        if not bad or not good:
+            out.append({})
+            continue
+        counts = seen.select("entry", F.expr(" + ".join(f"t{k}" for k in kept)).alias("t"), F.expr(" + ".join(f"c{k}" for k in kept)).alias("c")).where(f"t >= {support}")
+        odds = F.log((F.col("t") + 0.5) / (bad + 1)) - F.log((F.col("c") + 0.5) / (good + 1))
+        # a word is toxic by nature, or shared by chance: keep what is far likelier under label 1
+        best = counts.select("entry", odds.alias("odds"), (odds * F.sqrt("t")).alias("score")).where("odds > 1.6").orderBy(F.desc("score"), "entry").limit(size).collect()
+        out.append({r["entry"]: float(r["odds"]) for r in best})
+    seen.unpersist()
+    return out
 
 
 class Trees:
@@ -193,24 +202,31 @@ def _featured(docs: DataFrame, lexicon: dict[str, float], out: str, finish) -> D
 
 
 def fit(rows: DataFrame, most_rows: int = 16_000, seed: int = 5) -> Model:
-    """rows: doc_id, text, toxic. The driver gets `N_FEATURES` numbers for each of at most `most_rows` rows."""
+    """rows: doc_id, text, toxic. The driver gets some tens of numbers for each of about `most_rows` rows."""
     n = rows.count()
-    chance = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1 << 20)) / float(1 << 20)
-    drawn = rows.where(chance < min(1.0, 0.97 * most_rows / max(1, n)))
-    drawn = drawn.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.col("toxic").cast("double").alias("toxic"))
-    lexicon = learn_lexicon(drawn)
-    got = _featured(drawn, lexicon, "doc_id long, toxic double, x array<double>", lambda part, x: pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(list(x), pa.list_(pa.float64()))], names=["doc_id", "toxic", "x"])).limit(2 * most_rows).collect()
+    draw = lambda k: F.pmod(F.xxhash64("doc_id", "text", F.lit(seed + k)), F.lit(1 << 30))
+    drawn = rows.where(draw(0) / float(1 << 30) < most_rows / max(1, n))
+    drawn = drawn.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.col("toxic").cast("double").alias("toxic"), (draw(1) % FOLDS).cast("int").alias("fold"))
+    lexicons = learn_lexicons(drawn)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weights = [Weights(x) for x in lexicons]
+        for batch in batches:
+            for part in slices(batch):
+                x = [np.concatenate([features(t, w) for w in weights]) for t in part.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), part.column(3), pa.array(x, pa.list_(pa.float64()))], names=["doc_id", "toxic", "fold", "x"])
+
+    got = drawn.mapInArrow(run, "doc_id long, toxic double, fold int, x array<double>").collect()
     got.sort(key=lambda r: (r["doc_id"], r["toxic"], r["x"]))
-    y = np.array([r["toxic"] for r in got])
+    y, fold = np.array([r["toxic"] for r in got]), np.array([r["fold"] for r in got])
     if not len(y) or y.min() == y.max():
-        return Model(lexicon, None, None)
-    x = np.array([r["x"] for r in got])
-    fold = np.random.default_rng(seed).permutation(len(y)) % 3
+        return Model(lexicons[-1], None, None)
+    x = np.array([r["x"] for r in got]).reshape(len(got), FOLDS + 1, N_FEATURES)
     margin = np.zeros(len(y))
-    for k in range(3):
-        if 0 < (t := y[fold != k]).sum() < len(t):
-            margin[fold == k] = Trees().fit(x[fold != k], t).margin(x[fold == k])
-    return Model(lexicon, Trees().fit(x, y), isotonic(margin, y))
+    for k in range(FOLDS):
+        if 0 < (t := y[fold != k]).sum() < len(t) and (fold == k).any():
+            margin[fold == k] = Trees().fit(x[fold != k, k], t).margin(x[fold == k, k])
+    return Model(lexicons[-1], Trees().fit(x[:, FOLDS], y), isotonic(margin, y))
 
 
 def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
