@@ -387,7 +387,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
         links = links.unionAll(_confirmed(_prefix_pairs(sets.join(crowded.hint("shuffle_merge"), "node"), percent, held), sets, percent))
         part = components(links)
     whole = heads.select("node", "key", "rep").join(part.hint("shuffle_merge"), "node", "left").withColumn("component", F.coalesce("component", "node"))
-    smallest = whole.groupBy("component").agg(F.min("rep").alias("component_id"))
+    smallest = written(whole.groupBy("component").agg(F.min("rep").alias("component_id")), "smallest")  # apart from the join, which a large component skews
     classes = whole.select("key", "component").join(smallest.hint("shuffle_merge"), "component").select("key", "component_id")
     held.release()
     done = full.select("doc_id", "n_shingles", "key").join(classes.hint("shuffle_merge"), "key").select("doc_id", "n_shingles", "component_id")
