@@ -39,7 +39,7 @@ N_FEATURES, FOLDS = 13, 3
 class Weights(dict):
     """A word's weight: that of its longest stem in the lexicon, or 0. Remembers words, up to a bound."""
 
-    def __init__(self, lexicon: dict[str, float], most: int = 500_000):
+    def __init__(self, lexicon: dict[str, float], most: int = 120_000):
         super().__init__()
         self.lexicon, self.most = lexicon, most
 
