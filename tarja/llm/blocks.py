@@ -50,8 +50,8 @@ def _stream(parts: list[pa.RecordBatch]) -> bytes | None:
     return press(sink.getvalue().to_pybytes())
 
 
-def blocks(docs: DataFrame) -> DataFrame:
-    """(doc_id, text, ...) as a written table of blocks, which keeps their numbers whatever is run again."""
+def blocks(docs: DataFrame, most: int = BLOCK_BYTES) -> DataFrame:
+    """(doc_id, text, ...) as a written table of blocks of at most `most` bytes (or one text), which keeps their numbers whatever is run again."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -73,7 +73,7 @@ def blocks(docs: DataFrame) -> DataFrame:
             other = batch.select(range(2, batch.num_columns))
             a = since = 0
             for k, (i, b) in enumerate(zip(batch.column(0).to_pylist(), ends.tolist())):
-                if size + b - a > BLOCK_BYTES:
+                if size + b - a > most:
                     rest.append(other.slice(since, k - since))
                     since = k
                     close()

@@ -25,6 +25,7 @@ from tarja.llm.common import documents, mix, null_id, pair, table
 from tarja.llm.suffix import same_prefix, sorted_suffixes
 
 GRAM = 24
+BLOCK_BYTES = 2 << 20  # some ten arrays of a number for each byte are held for a block
 _AT = np.uint64((1 << 30) - 1)
 
 
@@ -161,7 +162,7 @@ def answer_runs(payloads: list[bytes], length: int) -> list[bytes]:
 
 def removed_bytes(docs: DataFrame, length: int, out: str, schema: pa.Schema, finish) -> DataFrame:
     """finish(block, removed flags of its bytes) -> rows, for each block."""
-    held = blocks(docs)
+    held = blocks(docs, BLOCK_BYTES)
     bits = bucket_bits(docs)
     run_bits = bits + 2  # a run is far larger than a key
 
