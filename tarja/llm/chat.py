@@ -8,6 +8,8 @@ turns first; a null conversation id is a conversation of its own; other columns
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,6 +30,33 @@ def _header(role: Column) -> Column:
     return F.concat(F.lit('<turn role="'), role, F.lit('">'))
 
 
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with the value computed once: the optimizer would copy its tree into every lambda that names it."""
+    return F.transform(F.array(value), use)[0]
+
+
+def _parts(items: Column) -> Column:
+    """The array in parts of about the root of its size. Folds and cuts that copy what they walk over go through parts one by
+    one, so that n turns of one conversation cost n to the 1.5, not its square."""
+    return _let(items, lambda a: _let(F.greatest(F.lit(1), F.ceil(F.sqrt(F.size(a))).cast("int")), lambda c: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(a)), c), lambda i: F.slice(a, i, c))))
+
+
+def _running(steps: Column, start: Column) -> Column:
+    """start plus the sums of the array up to each element."""
+    first = F.struct(start.alias("at"), F.array().cast("array<int>").alias("out"))
+    return F.aggregate(steps, first, lambda s, x: F.struct((s["at"] + x).alias("at"), F.concat(s["out"], F.array(s["at"] + x)).alias("out")))["out"]
+
+
+def _stops(steps: Column) -> Column:
+    """The sums of the array up to each element, part by part."""
+
+    def joined(parts: Column) -> Column:
+        totals = F.transform(parts, lambda p: F.aggregate(p, F.lit(0), lambda s, x: s + x))
+        return _let(_running(totals, F.lit(0)), lambda ends: F.flatten(F.transform(parts, lambda p, k: _running(p, F.when(k == 0, 0).otherwise(F.get(ends, k - 1))))))
+
+    return _let(_parts(steps), joined)
+
+
 def format_chat(turns: DataFrame, loss_role: str = "assistant") -> DataFrame:
     """conv_id, formatted, and loss_spans: code-point (start, stop) of each text of loss_role inside formatted."""
     rows = turns.select(
@@ -35,44 +64,42 @@ def format_chat(turns: DataFrame, loss_role: str = "assistant") -> DataFrame:
         F.struct(F.col("turn").cast("long").alias("turn"), escape(F.coalesce(F.col("role").cast("string"), F.lit(""))).alias("role"), escape(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("text")).alias("t"),
     )
     gathered = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list("t")).alias("turns"))
-    kind = "array<struct<role:string,texts:array<string>>>"
 
-    def merge(done: Column, t: Column) -> Column:
-        last = F.element_at(done, -1)
-        new = F.array(F.struct(t["role"].alias("role"), F.array(t["text"]).alias("texts")))
-        joined = F.array(F.struct(last["role"].alias("role"), F.concat(last["texts"], F.array(t["text"])).alias("texts")))
-        return F.when((F.size(done) > 0) & (F.try_element_at(done, F.lit(-1))["role"] == t["role"]), F.concat(F.slice(done, 1, F.size(done) - 1), joined)).otherwise(F.concat(done, new))
+    # the numbers of the turns that begin a run of one role; a run's texts lie between its own and the next one's
+    begins = lambda turns: F.filter(F.sequence(F.lit(0), F.size(turns) - 1), lambda i: (i == 0) | (F.get(turns, i - 1)["role"] != F.get(turns, i)["role"]))
+
+    def merge(turns: Column, at: Column) -> Column:
+        texts = lambda i, k: F.transform(F.sequence(i, F.coalesce(F.get(at, k + 1), F.size(turns)) - 1), lambda j: F.get(turns, j)["text"])
+        return F.transform(at, lambda i, k: F.struct(F.get(turns, i)["role"].alias("role"), texts(i, k).alias("texts")))
 
-    merged = gathered.select("conv_id", F.aggregate("turns", F.array().cast(kind), merge).alias("merged"))
-    body = F.transform("merged", lambda m: F.concat(_header(m["role"]), F.array_join(m["texts"], PART), F.lit(END)))
+    def spans(turns: Column) -> Column:
+        # what stands between a text and the one before, and the text
+        def step(t: Column, i: Column) -> Column:
+            same = (i > 0) & F.coalesce(F.get(turns, i - 1)["role"] == t["role"], F.lit(False))
+            return F.when(same, len(PART)).otherwise(F.when(i > 0, len(END)).otherwise(0) + F.length(_header(t["role"]))) + F.length(t["text"])
 
-    def spans(state: Column, m: Column) -> Column:
-        at = state["at"] + F.length(_header(m["role"]))
-        inner = F.aggregate(
-            m["texts"],
-            F.struct(at.alias("at"), F.array().cast("array<struct<start:int,stop:int>>").alias("out")),
-            lambda s, x: F.struct((s["at"] + F.length(x) + len(PART)).alias("at"), F.concat(s["out"], F.array(F.struct(s["at"].alias("start"), (s["at"] + F.length(x)).alias("stop")))).alias("out")),
-        )
-        return F.struct((inner["at"] - len(PART) + len(END)).alias("at"), F.concat(state["out"], F.when(m["role"] == escape(F.lit(loss_role)), inner["out"]).otherwise(F.array().cast("array<struct<start:int,stop:int>>"))).alias("out"))
+        ended = F.zip_with(turns, _stops(F.transform(turns, step)), lambda t, e: F.struct((e - F.length(t["text"])).alias("start"), e.alias("stop"), t["role"].alias("role")))
+        return F.transform(F.filter(ended, lambda s: s["role"] == escape(F.lit(loss_role))), lambda s: F.struct(s["start"].alias("start"), s["stop"].alias("stop")))
 
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,stop:int>>").alias("out"))
-    return merged.select("conv_id", F.array_join(body, "").alias("formatted"), F.aggregate("merged", start, spans)["out"].alias("loss_spans"))
+    merged = _let(F.col("turns"), lambda t: _let(begins(t), lambda at: merge(t, at)))
+    body = F.transform(merged, lambda m: F.concat(_header(m["role"]), F.array_join(m["texts"], PART), F.lit(END)))
+    return gathered.select("conv_id", F.array_join(body, "").alias("formatted"), _let(F.col("turns"), spans).alias("loss_spans"))
 
 
 def read_chat(formatted: DataFrame) -> DataFrame:
     """conv_id, turns (role, text) as they were before merging, loss_text: read back from formatted and loss_spans alone."""
     blocks = F.filter(F.split(F.col("formatted"), END), lambda b: b != "")
-    turns = F.flatten(
-        F.transform(
-            blocks,
-            lambda b: F.transform(
-                F.split(F.regexp_replace(b, r'^<turn role="[^"]*">', ""), PART),
-                lambda p: F.struct(unescape(F.regexp_extract(b, r'^<turn role="([^"]*)">', 1)).alias("role"), unescape(p).alias("text")),
-            ),
-        )
-    )
-    loss = F.array_join(F.transform("loss_spans", lambda s: unescape(F.substring(F.col("formatted"), s["start"] + 1, s["stop"] - s["start"]))), "")
-    return formatted.select("conv_id", "formatted", turns.alias("turns"), loss.alias("loss_text"))
+
+    def read(b: Column) -> Column:
+        texts = F.split(F.regexp_replace(b, r'^<turn role="[^"]*">', ""), PART)
+        return _let(unescape(F.regexp_extract(b, r'^<turn role="([^"]*)">', 1)), lambda role: F.transform(texts, lambda p: F.struct(role.alias("role"), unescape(p).alias("text"))))
+
+    def cut(part: Column) -> Column:
+        low, high = F.get(part, F.lit(0))["start"], F.element_at(part, -1)["stop"]
+        return _let(F.substring(F.col("formatted"), low + 1, high - low), lambda own: F.array_join(F.transform(part, lambda s: unescape(F.substring(own, s["start"] - low + 1, s["stop"] - s["start"]))), ""))
+
+    loss = F.array_join(F.transform(F.filter(_parts(F.col("loss_spans")), lambda p: F.size(p) > 0), cut), "")
+    return formatted.select("conv_id", "formatted", F.flatten(F.transform(blocks, read)).alias("turns"), loss.alias("loss_text"))
 
 
 def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -286,6 +286,25 @@ def test_chat_reads_back(spark):
     assert got[1]["loss_text"] == "<part/>" and got[2]["loss_text"] == ""
 
 
+@pytest.mark.parametrize("n", [1, 2, 3, 50, 20_000])
+def test_long_conversations(spark, n):
+    rng = np.random.default_rng(n)
+    rows = [(int(i), ["user", "assistant", "tool"][rng.integers(0, 3)] if n < 1000 or i < n // 2 else "assistant", ["", "é<b", "x & y " * 5, "𝛼 turn"][rng.integers(0, 4)]) for i in range(n)]
+    turns = spark.createDataFrame([(9, *r) for r in rows], "conv_id long, turn long, role string, text string").repartition(3)
+    formatted = chat.format_chat(turns)
+    got = chat.read_chat(formatted).select("turns", "loss_text", "formatted").first()
+    esc = lambda x: x.replace("&", "&amp;").replace("<", "&lt;").replace('"', "&quot;")
+    text, spans, before = "", [], None
+    for _, role, said in rows:
+        text += "<part/>" if role == before else ("</turn>\n" if before else "") + f'<turn role="{role}">'
+        spans += [(len(text), len(text) + len(esc(said)))] if role == "assistant" else []
+        text, before = text + esc(said), role
+    assert got["formatted"] == text + "</turn>\n"
+    assert [tuple(s) for s in formatted.first()["loss_spans"]] == spans
+    assert [tuple(t) for t in got["turns"]] == [r[1:] for r in rows]
+    assert got["loss_text"] == "".join(r[2] for r in rows if r[1] == "assistant")
+
+
 def test_chat_equals_sql(spark):
     assert differences(registry.queries()["op9_chat_formatting"](spark, SF), connect(SF), registry.oracle_sql()["op9_chat_formatting"]) == ""
 
