@@ -58,7 +58,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("toxicity", drop_toxic), ("minhash", drop_near_copies), ("suffix_array", cut_repeats), ("decontamination", drop_contaminated), ("packing", pack)]
 
-#: SQL expresses neither the learned scores nor the forest. No test holds run() as a whole against brute force, only its operators and stages.
+#: SQL expresses neither the learned scores nor the forest. tests/llm/test_more.py holds run() against a brute-force version on planted rows.
 ORACLE_SQL = None
 
 
