@@ -22,33 +22,36 @@ PREFIX = {
 SUFFIX = {"CPF": [r"\s+-\s*\d{1,2}\s*$", _TAIL], "RG": [_TAIL, r"/\s*[A-ZÁ-Ú]{2,}\s*$"], "CNH": [r"\s+DETRAN(?:\s*[/-]?\s*[A-ZÁ-Ú]{2})?\s*$"]}
 
 
-def _trim(s: Column, text: Column, start: Column, end: Column) -> Column:
-    left, right = F.length(F.regexp_replace(text, r"(?U)^\s+", "")), F.length(F.regexp_replace(text, r"(?U)\s+$", ""))
-    n = F.length(text)
-    return span(s["label"], start + n - left, end - (n - right), F.regexp_replace(text, r"(?U)^\s+|\s+$", ""), s["detected_by"], s["seq"])
+def _rest(text: Column, k: Column, front: bool) -> Column:
+    return F.substring(text, k + 1, F.length(text)) if front else F.substring(text, F.lit(1), F.length(text) - k)
 
 
-def _rules(s: Column, rules: dict[str, list[str]], front: bool):
-    """(pattern, whether it applies, the span without what it finds) of each rule."""
+def _applies(s: Column, rules: dict[str, list[str]], front: bool):
+    """(pattern, number of characters that the pattern finds, if that leaves a letter or digit) of each rule, else null."""
     for label, patterns in rules.items():
         for p in patterns:
-            found = F.regexp_extract(s["text"], "(?iuU)" + p, 0)
-            k = F.length(found)
-            rest = F.substring(s["text"], k + 1, F.length(s["text"])) if front else F.substring(s["text"], F.lit(1), F.length(s["text"]) - k)
-            ok = (s["label"] == label) & (k > 0) & rest.rlike(r"(?U)[\p{IsAlphabetic}\p{IsDigit}]")
-            yield p, ok, _trim(s, rest, s["start"] + k, s["end"]) if front else _trim(s, rest, s["start"], s["end"] - k)
+            k = F.length(F.regexp_extract(s["text"], "(?iuU)" + p, 0))
+            ok = (s["label"] == label) & (k > 0) & _rest(s["text"], k, front).rlike(r"(?U)[\p{IsAlphabetic}\p{IsDigit}]")
+            yield p, F.when(ok, k)
 
 
 def _cut(s: Column, rules: dict[str, list[str]], front: bool) -> Column:
-    cases = None
-    for _, ok, new in _rules(s, rules, front):
-        cases = F.when(ok, new) if cases is None else cases.when(ok, new)
-    return cases.otherwise(s)
+    """The span without what the first rule that applies finds, trimmed; as it is if none does."""
+
+    def cut(k: Column) -> Column:
+        text = _rest(s["text"], k, front)
+        left, right, n = F.length(F.regexp_replace(text, r"(?U)^\s+", "")), F.length(F.regexp_replace(text, r"(?U)\s+$", "")), F.length(text)
+        start, end = (s["start"] + k, s["end"]) if front else (s["start"], s["end"] - k)
+        new = span(s["label"], start + n - left, end - (n - right), F.regexp_replace(text, r"(?U)^\s+|\s+$", ""), s["detected_by"], s["seq"])
+        return F.when(k.isNotNull(), new).otherwise(s)
+
+    # the number is bound by a lambda, so that the rules are tried once
+    return F.transform(F.array(F.coalesce(*[k for _, k in _applies(s, rules, front)])), cut)[0]
 
 
 def rule(s: Column) -> Column:
     """The patterns by which `normalize` cuts the span, parted by " | ", or null if none does."""
-    first = lambda x, rules, front: F.coalesce(*[F.when(ok, F.lit(p)) for p, ok, _ in _rules(x, rules, front)])
+    first = lambda x, rules, front: F.coalesce(*[F.when(k.isNotNull(), F.lit(p)) for p, k in _applies(x, rules, front)])
     return F.nullif(F.concat_ws(" | ", first(s, PREFIX, True), first(_cut(s, PREFIX, True), SUFFIX, False)), F.lit(""))
 
 
