@@ -52,11 +52,14 @@ def _email(text, s, e, span) -> Column:
     return mail.rlike(r"(?U)^[^@/]+@[^@/]*\.\p{IsAlphabetic}{2,}\z") & ~url
 
 
-def _geo(near, span) -> Column:
+def _geo(text, s, e, near, span) -> Column:
     x = strip(span)
+    # digits and a letter inside a longer word, as in hexadecimal secrets, are no coordinate, whatever stands around; a name right before may touch them
+    before = F.substring(text, F.greatest(s - 11, F.lit(0)) + 1, F.least(s, F.lit(11)))
+    glued = x.rlike(r"^\d{2}[NSEWnsew]\d{6}\z") & (F.substring(text, e + 1, F.lit(1)).rlike(r"(?U)\w") | (before.rlike(r"(?U)\w\z") & ~before.rlike(r"(?iU)\b(?:lat|long|log|latitude|longitude|coordenada)\z")))
     marked = reduce(lambda a, b: a | b, [F.contains(x, F.lit(m)) for m in ("°", "'", '"', "Lat", "Long", "Log")])
     shaped = x.rlike(r"^\d{2}[NSEWnsew]\d{6}\z|^-?\d{1,3}\.\d+\s*,\s*-?\d{1,3}\.\d+\z")
-    return (F.length(x) >= 3) & (marked | shaped | has(near, WORDS["GEO_COORD"]))
+    return (F.length(x) >= 3) & ~glued & (marked | shaped | has(near, WORDS["GEO_COORD"]))
 
 
 def _cid(near, span) -> Column:
@@ -89,7 +92,7 @@ def verdict(text: Column, s: Column, e: Column, span: Column, label: str, use_cp
     elif label == "EMAIL":
         found = accept(_email(text, s, e, span))
     elif label == "GEO_COORD":
-        found = accept(_geo(near, span))
+        found = accept(_geo(text, s, e, near, span))
     elif label == "CID":
         found = accept(_cid(near, span))
     elif label == "DATA_NASCIMENTO":

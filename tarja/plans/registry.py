@@ -76,7 +76,7 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _Q["mask_documents"] = flagship
-#: All labels are sought; in the documents of sf0.01 and below only e-mail addresses are personal data, which the SQL finds by itself.
+#: All labels are sought; in the documents of sf0.1 and below only e-mail addresses are personal data, which the SQL finds by itself.
 _SQL["mask_documents"] = _plain(f"""SELECT doc_id, CAST(coalesce(len(regexp_extract_all(text, '{EMAIL}')), 0) AS BIGINT) AS n_spans, sha256(regexp_replace(text, '{EMAIL}', '<|EMAIL|>', 'g')) AS masked_sha256
 FROM {{documents}}""")
 

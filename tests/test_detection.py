@@ -103,3 +103,9 @@ def test_matching_keeps_repeated_rows_and_null_offsets(spark):
     found = spark.createDataFrame([(1, "CPF", 1, 9, "a"), (1, "CPF", 2, 9, "c"), (3, "RG", 0, 4, "d")], schema)
     got = sorted((r["id"], r["kind"], r["start_entidade_true"] or -1, r["start_entidade_pred"] or -1) for r in ev.match(truth, found).collect())
     assert got == [(1, "pair", -1, 1), (1, "pred", -1, 2), (1, "true", 20, -1), (1, "true", 20, -1), (2, "true", -1, -1), (3, "pred", -1, -1)]
+
+
+@pytest.mark.parametrize("text, want", [("token 7fcb6e3e39e793795 lat", []), ("39e793795ab gps", []), ("Ponto 47W561530.", ["47W561530"]), ("lat02s380200", ["02s380200"]), ("Lat02S380200", ["02S380200"])])
+def test_a_coordinate_is_no_part_of_a_word(spark, text, want):
+    df = spark.createDataFrame([(text,)], "text string")
+    assert [s["text"] for s in Engine(Catalog().with_labels(["GEO_COORD"])).spans(df).first()["spans"]] == want
