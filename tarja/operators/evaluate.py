@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from tarja.functions.labels import ALIASES
 from tarja.functions.normalize import normalize
 from tarja.functions.spans import span
+from tarja.operators import parts
 
 KEYS = ["id", "tp_entidade", "start_entidade", "end_entidade"]
 ALL = "TODAS"
@@ -93,8 +94,10 @@ def match(truth: DataFrame, found: DataFrame) -> DataFrame:
     """One row per matched pair, per ground truth without and per prediction without partner; kind is pair, true or pred.
 
     Every prediction keeps its best ground truth, then every ground truth its best prediction left. No threshold is used, so
-    one result serves all of them."""
-    t, p = _side(require(truth, KEYS, "ground truth"), "true"), _side(require(found, KEYS, "predictions"), "pred")
+    one result serves all of them. The ground truth is counted (one action), as its rows say into how many partitions both
+    sides are dealt."""
+    n = parts.by_rows(require(truth, KEYS, "ground truth"))
+    t, p = (_side(df, side).repartition(n, "id", "tp_entidade") for df, side in ((truth, "true"), (require(found, KEYS, "predictions"), "pred")))
     both = t.join(p, ["id", "tp_entidade"]).withColumn("overlap", iou(F.col("start_entidade_true"), F.col("end_entidade_true"), F.col("start_entidade_pred"), F.col("end_entidade_pred")))
     ties = [F.desc("overlap"), "start_entidade_true", "end_entidade_true", "start_entidade_pred", "end_entidade_pred", "text_entidade_true", "text_entidade_pred"]
     for side in ("pred", "true"):
@@ -154,8 +157,10 @@ def report(truth: DataFrame, matched: DataFrame, thresholds: Iterable[float] = (
     # a row per threshold and label is left: the total is made of them
     sums = sums.groupingSets([["overlap_threshold", "tp_entidade"], ["overlap_threshold"]], "overlap_threshold", "tp_entidade").agg(*[F.sum(x).alias(x) for x in ("tp", "fp", "fn")], F.grouping("tp_entidade").alias("_all"))
     sums = sums.withColumn("tp_entidade", F.when(F.col("_all") == 1, ALL).otherwise(F.col("tp_entidade")))
-    size = truth.select("id", "tp_entidade").rollup("tp_entidade").agg(F.count_distinct("id").alias("qtd_ids"), F.count("*").alias("qtd_entidades"), F.grouping("tp_entidade").alias("_all"))
-    size = size.withColumn("tp_entidade", F.when(F.col("_all") == 1, ALL).otherwise(F.col("tp_entidade"))).drop("_all")
+    # documents meet in one partition and are counted there, by label and as a whole
+    held = truth.select("id", "tp_entidade").repartition(parts.by_rows(truth), "id").groupBy("id", "tp_entidade").agg(F.count("*").alias("_n"))
+    one = lambda rows, label: rows.agg(F.count("id").alias("qtd_ids"), F.coalesce(F.sum("_n"), F.lit(0)).alias("qtd_entidades")).select(label, "qtd_ids", "qtd_entidades")
+    size = one(held.groupBy("tp_entidade"), F.col("tp_entidade")).unionAll(one(held.groupBy("id").agg(F.sum("_n").alias("_n")), F.lit(ALL).alias("tp_entidade")))
     both = sums.drop("_all").join(size, "tp_entidade").withColumn("beta", F.explode(F.array(*[F.lit(float(b)) for b in betas])))
     return both.select("tp_entidade", "overlap_threshold", "beta", "qtd_ids", "qtd_entidades", *metrics(F.col("tp"), F.col("fp"), F.col("fn"), F.col("beta")), "tp", "fp", "fn")
 
@@ -206,7 +211,7 @@ def case_listing(rows: DataFrame, labels: Iterable[str] | None = None, kinds: It
         rows = rows.where(F.col("tp_entidade").isin(list(labels)))
     if kinds is not None:
         rows = rows.where(F.col("case_type").isin(kinds))
-    return rows.withColumns({"has_gt_text": F.col("text_entidade_true").isNotNull(), "has_pred_text": F.col("text_entidade_pred").isNotNull()}).orderBy("id", "tp_entidade")
+    return rows.withColumns({"has_gt_text": F.col("text_entidade_true").isNotNull(), "has_pred_text": F.col("text_entidade_pred").isNotNull()}).repartitionByRange(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "id", "tp_entidade").sortWithinPartitions("id", "tp_entidade")
 
 
 def error_counts(rows: DataFrame) -> DataFrame:
