@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tarja.functions.spans import bound
+from tarja.operators import parts
 
 ENTITIES = "array<struct<start:int,end:int,label:string>>"
 ID, TEXT, LABEL, START, END = ("id", "id_doc", "id_documento"), ("text", "texto"), ("tp_entidade", "entidade", "label"), ("start_entidade", "start"), ("end_entidade", "end")
@@ -207,12 +208,15 @@ def new_labels(entities: DataFrame, known: Iterable[str]) -> list[str]:
 
 # ---- curriculum windows ---------------------------------------------------------------------------------------------
 def curriculum_filter(texts: DataFrame, entities: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Documents without an erroneous annotation; of texts with one id the last of the input stays; entities once, start before end."""
-    t, e = named(texts, id=ID, text=TEXT), named(entities, id=ID, start=START, end=END, label=LABEL)
+    """Documents without an erroneous annotation; of texts with one id the last of the input stays; entities once, start before end.
+    Both are counted (two actions) and dealt by id once, into partitions of as many rows at any size; all that follows stays there."""
+    t, e = named(texts, id=ID, text=TEXT).withColumn("_at", F.monotonically_increasing_id()), named(entities, id=ID, start=START, end=END, label=LABEL)
+    n = parts.by_rows(t, e)
+    t, e = t.repartition(n, "id"), e.repartition(n, "id")
     if "TEM_ERRO" in e.columns:
         e = e.join(e.where(F.coalesce(F.col("TEM_ERRO").cast("int"), F.lit(0)) != 0).select("id").distinct(), "id", "left_anti").drop("TEM_ERRO")
     e = e.where(~F.contains("label", F.lit("_remover")) & (F.col("start") < F.col("end"))).dropDuplicates(["id", "start", "end", "label"])
-    t = t.withColumn("_at", F.monotonically_increasing_id()).groupBy("id").agg(F.max_by("text", "_at").alias("text")).join(e.select("id").distinct(), "id", "left_semi")
+    t = t.groupBy("id").agg(F.max_by("text", "_at").alias("text")).join(e.select("id").distinct(), "id", "left_semi")
     return t, e
 
 
