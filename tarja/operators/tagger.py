@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from tarja.functions.spans import SPAN, bound, span
 from tarja.operators import evaluate as ev
+from tarja.operators import parts
 from tarja.operators import training as tr
 
 BY = "modelo"
@@ -104,8 +105,9 @@ class Tagger:
     tags: list[str]
 
     def annotate(self, df: DataFrame, text: str = "text", out: str = "model_spans") -> DataFrame:
-        """df with an array of spans, as `Engine(model_spans=...)` takes it. Rows meet again by a number of their own."""
-        numbered = df.withColumn("_row", F.monotonically_increasing_id()).persist()
+        """df with an array of spans, as `Engine(model_spans=...)` takes it. Rows meet again by a number of their own. They are
+        dealt out by their texts' length (one action), as a row per token is far larger than its text."""
+        numbered = df.repartition(parts.by_chars(df, text)).withColumn("_row", F.monotonically_increasing_id()).persist()
         tokens = token_rows(numbered.select("_row", F.col(f"`{text}`").alias("text")), False)
         names = F.array(*map(F.lit, self.tags))
         scored = self.model.transform(tokens).select("_row", "start", "end", F.get(names, F.col("prediction").cast("int")).alias("tag")).where("tag <> 'O'")
@@ -146,9 +148,10 @@ def train(examples: DataFrame, width: int = 1 << 14, rounds: int = 25, penalty:
 
 
 def train_phases(phases: list[tuple[str, DataFrame, float]], width: int = 1 << 14, rounds: int = 25, penalty: float = 1e-3) -> Tagger:
-    """A tagger of a curriculum: the phases' examples together, each with its phase's weight."""
+    """A tagger of a curriculum: the phases' examples together, each with its phase's weight. Examples are dealt out by their
+    texts' length (one action for each phase), so that a task holds the features of about a million characters."""
     weight = lambda df, w: (F.col("weight") if "weight" in df.columns else F.lit(1.0)) * w
-    rows = reduce(DataFrame.unionAll, [token_rows(df.select("text", "entities", weight(df, w).cast("double").alias("weight")), True).select("grams", "weight", "tag") for _, df, w in phases])
+    rows = reduce(DataFrame.unionAll, [token_rows(df.select("text", "entities", weight(df, w).cast("double").alias("weight")).repartition(parts.by_chars(df, "text")), True).select("grams", "weight", "tag") for _, df, w in phases])
     rows = rows.where("tag <> '-'").persist()
     try:
         tags = sorted(r[0] for r in rows.select("tag").distinct().collect())  # four for each label, and O
