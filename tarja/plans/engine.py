@@ -18,10 +18,11 @@ from tarja.operators.tables import table_spans
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """A batch source of fewer partitions than there are cores is dealt out evenly: looking through a text costs far more than
-    moving it. Larger sources, and streams, stay as they are."""
+    """A batch source of few partitions is dealt out evenly: looking through a text costs far more than moving it. The planned
+    partitions of a file do not tell how many tasks have rows, as a group of rows is read by one of them; so only sources of
+    eight times as many as there are cores, and streams, stay as they are."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.isStreaming or df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+    return df if df.isStreaming or (n := df.rdd.getNumPartitions()) >= 8 * cores else df.repartition(max(n, 2 * cores))
 
 
 @dataclass(frozen=True)

@@ -97,7 +97,7 @@ def email_masked(spark, sf_dir):
 
 @query(f"SELECT lang, count(*) AS n_docs, CAST(sum(CAST(regexp_matches(text, '{EMAIL}') AS INT)) AS BIGINT) AS n_masked FROM {{documents}} GROUP BY lang")
 def masked_share_by_lang(spark, sf_dir):
-    out = _only("EMAIL").spans(_table(spark, sf_dir, "documents").select("lang", "text"))
+    out = _only("EMAIL").spans(spread(_table(spark, sf_dir, "documents").select("lang", "text")))
     return out.groupBy("lang").agg(F.count("*").alias("n_docs"), F.sum((F.size("spans") > 0).cast("long")).alias("n_masked"))
 
 
@@ -116,7 +116,7 @@ _NEAR = lambda label, back, shape: f"(?i)(?:{'|'.join(re.escape(w) for w in WORD
   CAST(sum(len(regexp_extract_all(text, '{_NEAR("DATA_NASCIMENTO", 80, "[0-9]{2}[-/.][0-9]{2}[-/.][0-9]{2}|[0-9]{4}-[0-9]{2}-[0-9]{2}")}'))) AS BIGINT) AS n_birth_dates FROM {{documents}}""")
 def false_positive_rejection(spark, sf_dir):
     docs = _table(spark, sf_dir, "documents").select("text")
-    out = _only("PASSAPORTE", "DATA_NASCIMENTO").spans(docs)
+    out = _only("PASSAPORTE", "DATA_NASCIMENTO").spans(spread(docs))
     count = lambda label: F.coalesce(F.sum(F.size(F.filter("spans", lambda s: s["label"] == label))), F.lit(0)).cast("long")
     return out.agg(F.sum(F.coalesce(F.regexp_count("text", F.lit("[a-zA-Z]{2}[0-9]{5,6}")), F.lit(0))).alias("n_shapes"), count("PASSAPORTE").alias("n_passports"), count("DATA_NASCIMENTO").alias("n_birth_dates"))
 
@@ -164,33 +164,33 @@ for _name, (_label, _sql) in fx.TEMPLATES.items():
 @query(f"SELECT id, 'Cliente ' || name || ', CPF ' || CASE WHEN good THEN '<|CPF|>' ELSE cpf END AS masked FROM ({fx.CPF}) q")
 def mask_templates(spark, sf_dir):
     rows = _rows(spark, sf_dir, f"SELECT id, 'Cliente ' || name || ', CPF ' || cpf AS text FROM ({fx.CPF}) q")
-    return Engine().anonymize(rows).select("id", "masked")
+    return Engine().anonymize(spread(rows)).select("id", "masked")
 
 
 @query(f"SELECT label, count(*) AS n FROM (SELECT 'CPF' AS label FROM ({fx.CPF}) q WHERE good UNION ALL SELECT 'TELEFONE' FROM ({fx.TEMPLATES['phone_gate'][1]}) p WHERE good) x GROUP BY label")
 def spans_per_label(spark, sf_dir):
     a = _rows(spark, sf_dir, f"SELECT 'Cliente ' || name || ', CPF ' || cpf AS text FROM ({fx.CPF}) q")
     b = _rows(spark, sf_dir, fx.TEMPLATES["phone_gate"][1]).select(F.concat("head", "body").alias("text"))
-    out = _only("CPF", "TELEFONE").spans(a.unionAll(b))
+    out = _only("CPF", "TELEFONE").spans(spread(a.unionAll(b)))
     return out.select(F.explode("spans").alias("s")).groupBy(F.col("s.label").alias("label")).agg(F.count("*").alias("n"))
 
 
 @query(f"""SELECT id, 'CPF' AS label, CAST(instr(text, cpf) - 1 AS BIGINT) AS start, CAST(instr(text, cpf) - 1 + 14 AS BIGINT) AS "end", cpf AS text FROM ({fx.TABLE}) q
 UNION ALL SELECT id, 'EMAIL', CAST(instr(text, mail) - 1 AS BIGINT), CAST(instr(text, mail) - 1 + length(mail) AS BIGINT), mail FROM ({fx.TABLE}) q""")
 def table_entities(spark, sf_dir):
-    return _listed(_only("CPF", "EMAIL").spans(_rows(spark, sf_dir, fx.TABLE).select("id", "text")))
+    return _listed(_only("CPF", "EMAIL").spans(spread(_rows(spark, sf_dir, fx.TABLE).select("id", "text"))))
 
 
 @query("SELECT s_suppkey AS id, 'PROTOCOLO' AS label, CAST(5 AS BIGINT) AS start, CAST(5 + length(s_name) AS BIGINT) AS \"end\", s_name AS text FROM {supplier}")
 def custom_pattern(spark, sf_dir):
     rows = _table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), F.concat(F.lit("Ver: "), "s_name", F.lit(" .")).alias("text"))
-    return _listed(Engine(Catalog().with_custom(custom("protocolo", r"Supplier#\d+"))).spans(rows))
+    return _listed(Engine(Catalog().with_custom(custom("protocolo", r"Supplier#\d+"))).spans(spread(rows)))
 
 
 @query(f"SELECT id, 'CPF' AS label, cpf AS text FROM ({fx.CPF}) q WHERE good")
 def label_text_distinct(spark, sf_dir):
     rows = _rows(spark, sf_dir, f"SELECT id, 'CPF ' || cpf || ' e CPF ' || cpf AS text FROM ({fx.CPF}) q")
-    out = _only("CPF").extract(rows, kind="text")
+    out = _only("CPF").extract(spread(rows), kind="text")
     return out.select("id", F.explode("spans").alias("s")).select("id", "s.label", "s.text")
 
 
@@ -199,7 +199,7 @@ def model_plugin(spark, sf_dir):
     """Spans that come as a column from any model take part like the patterns' own, first in order."""
     rows = _rows(spark, sf_dir, f"SELECT id, 'Cliente ' || name || ', CPF ' || cpf AS text, length(name) + 14 AS at, cpf FROM ({fx.CPF}) q")
     rows = rows.withColumn("found", F.array(span(F.lit("CPF"), F.col("at"), F.col("at") + 14, F.col("cpf"), F.lit("modelo"), F.lit(0))))
-    out = Engine(Catalog().with_labels(["CPF"]), model_spans="found").spans(rows)
+    out = Engine(Catalog().with_labels(["CPF"]), model_spans="found").spans(spread(rows))
     return out.select("id", F.explode("spans").alias("s")).select("id", F.when(F.col("s.detected_by") == "modelo", "MODELO").otherwise("OUTRO").alias("source"), F.col("s.start").alias("start"))
 
 

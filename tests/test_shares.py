@@ -48,3 +48,19 @@ def test_taggers_deal_out_texts_by_their_length(spark, small, monkeypatch):
     rows = spark.range(200).select("id", F.lit("Sr. Ana Lima").alias("text"), F.array(tr.entity(F.lit(4), F.lit(12), F.lit("P"))).alias("entities")).coalesce(1)
     tagger = tg.train(rows, width=1 << 6, rounds=2)
     assert tagger.annotate(rows.select("id", "text")).count() == 200 and said == [26, 26]
+
+
+def test_rows_of_one_group_reach_all_tasks(spark, tmp_path):
+    from tarja.plans.engine import spread
+
+    path, name = "file://" + str(tmp_path / "p"), "spark.sql.files.maxPartitionBytes"
+    spark.range(20000).select(F.concat(F.lit("CPF "), "id").alias("text")).coalesce(1).write.parquet(path)
+    before = spark.conf.get(name)
+    spark.conf.set(name, "8k")
+    try:
+        df = spark.read.parquet(path)
+        filled = lambda x: x.select(F.spark_partition_id().alias("p")).distinct().count()
+        assert df.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism and filled(df) == 1
+        assert filled(spread(df)) >= spark.sparkContext.defaultParallelism
+    finally:
+        spark.conf.set(name, before)
